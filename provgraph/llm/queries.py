@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, quality, sharding, simhash, toxicity
+from . import decontam, line_dedup, mixing, quality, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_quality, op5_sharding, op6_toxicity, op8_simhash, op9_decontamination, op10_mixing)}
-SQL = {"op2_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_quality": quality.QUALITY_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_mixing": mixing.MIX_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_warc, op5_sharding, op6_toxicity, op8_simhash, op9_decontamination, op10_mixing)}
+SQL = {"op2_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_quality": quality.QUALITY_SQL, "op4_warc": warc.WARC_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_mixing": mixing.MIX_SQL}
