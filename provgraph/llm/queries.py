@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, quality, sharding, simhash, toxicity, warc
+from . import chat, decontam, line_dedup, mixing, quality, sharding, simhash, toxicity, warc
 from .common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_report(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_quality, op4_warc, op5_sharding, op6_toxicity, op8_simhash, op9_decontamination, op10_mixing)}
-SQL = {"op2_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_quality": quality.QUALITY_SQL, "op4_warc": warc.WARC_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_mixing": mixing.MIX_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_line_dedup, op3_quality, op4_warc, op5_sharding, op6_toxicity, op8_simhash, op9_decontamination, op10_mixing)}
+SQL = {"op1_chat": chat.CHAT_SQL, "op2_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_quality": quality.QUALITY_SQL, "op4_warc": warc.WARC_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_mixing": mixing.MIX_SQL}
