@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, line_dedup, mixing, quality, sharding, simhash, toxicity, warc
+from . import chat, decontam, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_line_dedup, op3_quality, op4_warc, op5_sharding, op6_toxicity, op8_simhash, op9_decontamination, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_line_dedup, op3_quality, op4_warc, op5_sharding, op6_toxicity, op7_token_counts, op8_simhash, op9_decontamination, op10_mixing)}
 SQL = {"op1_chat": chat.CHAT_SQL, "op2_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_quality": quality.QUALITY_SQL, "op4_warc": warc.WARC_SQL, "op9_decontamination": decontam.DECONTAM_SQL, "op10_mixing": mixing.MIX_SQL}

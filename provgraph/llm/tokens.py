@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from .files import open_at
 
 #: The vocabulary; a parameter wherever it is used.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 #: The splitting pattern that this family of vocabularies was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
