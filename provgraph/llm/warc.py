@@ -65,10 +65,10 @@ def _writer(folder: str, file_bytes: int):
         out = None
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                for page_id, url, html, sha1, refers_to in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     if out is None:
                         (uri, out), size, n = create(folder, ".warc.gz"), 0, 0
-                    data = member(warc_record(page_id, url, (html or "").encode(), digest, refers_to))
+                    data = member(warc_record(page_id, url, (html or "").encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to))
                     out.write(data)
                     size, n = size + len(data), n + 1
                     if size >= file_bytes:
@@ -82,12 +82,6 @@ def _writer(folder: str, file_bytes: int):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        html = batch.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([payload_digest((h or "").encode()) for h in html])], ["page_id", "url", "html", "digest"])
-
-
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) and return the manifest: uri, bytes, records.
 
@@ -97,13 +91,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     own. An empty table gives an empty manifest.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_digests, "page_id long, url string, html string, digest string")
+    sha1 = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", sha1.alias("sha1"))
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     # the digests are grouped without the payloads; these move once, and a hot digest's rows can be split
-    keepers = rows.filter(size >= min_bytes).groupBy(F.col("digest").alias("keeper_digest")).agg(F.max("page_id").alias("keeper"))
-    joined = rows.join(keepers, (F.col("digest") == F.col("keeper_digest")) & (size >= min_bytes), "left")
+    keepers = rows.filter(size >= min_bytes).groupBy(F.col("sha1").alias("keeper_sha1")).agg(F.max("page_id").alias("keeper"))
+    joined = rows.join(keepers, (F.col("sha1") == F.col("keeper_sha1")) & (size >= min_bytes), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.col("keeper").cast("string"))
-    out = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    out = joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
     return materialize(out.mapInArrow(_writer(folder, file_bytes), "uri string, bytes long, records long"), "warc-manifest")
 
 
