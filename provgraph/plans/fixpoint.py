@@ -13,13 +13,16 @@ from .scratch import materialize
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """(start, node, depth): what each start reaches along (src, dst), by breadth-first rounds.
+    """(start, node, depth): what each start reaches along (src, dst); depth is the least number of steps.
 
-    ``starts`` has ``node``; without it every source starts. A start is reached only if it lies
-    on a cycle. Depth is the least number of steps.
+    ``starts`` has ``node``; without it every source starts. A start is reached only if it lies on
+    a cycle. From some starts, or to a depth, the frontier moves one step a round; from all starts
+    without a bound, distances double each round.
     """
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "reach-edges")
     first = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    if starts is None and max_depth is None:
+        return _closure(materialize(first.withColumn("depth", F.lit(1)), "reach-1"))
     if starts is not None:
         first = first.join(starts.select(F.col("node").alias("start")).distinct(), "start", "left_semi")
     seen = frontier = materialize(first.withColumn("depth", F.lit(1)), "reach-1")
@@ -34,6 +37,24 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | No
     return seen
 
 
+def _closure(seen: DataFrame) -> DataFrame:
+    """All pairs from those one step apart.
+
+    With all distances up to d known, a shortest way of d + 1 to 2d steps begins with one of
+    exactly d; so pairs exactly d apart are joined with all known pairs. A closure of depth D
+    takes log2(D) rounds.
+    """
+    d = 1
+    while True:
+        ahead = seen.select(F.col("start").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        step = seen.filter(F.col("depth") == d).join(ahead, "node").groupBy("start", F.col("next").alias("node")).agg((F.min("more") + d).alias("depth"))
+        new = materialize(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), f"closure-{2 * d}")
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+        d *= 2
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, node, path): all shortest paths from each start to each node it reaches, itself not."""
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "paths-edges")
@@ -121,16 +142,29 @@ def _walk_into_cycles(parents: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level) by peeling nodes without a remaining predecessor; nodes on or behind a cycle are left out."""
-    left = materialize(nodes.select("node"), "peel-nodes")
-    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "peel-edges")
-    out, level = None, 0
+    """(node, level): length of the longest way from a node without predecessor; nodes on or behind a
+    cycle are left out.
+
+    A node with one predecessor lies a known number of steps behind its nearest ancestor with
+    none or several, which pointer doubling finds. Only those with several are settled in rounds,
+    each when all its predecessors are.
+    """
+    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "level-edges")
+    degree = edges.groupBy(F.col("dst").alias("n")).agg(F.count("*").alias("needs"))
+    many = materialize(degree.filter("needs > 1"), "level-joins")
+    single = materialize(edges.join(degree.filter("needs = 1"), F.col("dst") == F.col("n"), "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("parent")), "level-chains")
+    walked = chase(single).join(single.select(F.col("node").alias("last")), "last", "left_anti").select("node", F.col("last").alias("anchor"), "steps")
+    heads = nodes.select("node").join(single.select("node"), "node", "left_anti").select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("steps"))
+    at = materialize(walked.unionByName(heads), "level-anchors")
+    core = edges.join(many, F.col("dst") == F.col("n"), "left_semi").join(at, F.col("src") == F.col("node")).select("dst", "anchor", (F.col("steps") + 1).alias("steps"))
+    core = materialize(core, "level-core")
+    known = materialize(heads.select("node").join(many.select(F.col("n").alias("node")), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "levels")
     while True:
-        ready = materialize(left.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(level).alias("level")), "peel-level")
-        if ready.isEmpty():
+        ready = core.join(known, core.anchor == known.node).groupBy("dst").agg(F.count("*").alias("has"), F.max(F.col("level") + F.col("steps")).alias("level"))
+        ready = ready.join(many, (F.col("dst") == F.col("n")) & (F.col("has") == F.col("needs"))).select(F.col("dst").alias("node"), "level")
+        new = materialize(ready.join(known.select("node"), "node", "left_anti"), "levels")
+        if new.isEmpty():
             break
-        out = ready if out is None else out.unionByName(ready)
-        left = materialize(left.join(ready, "node", "left_anti"), "peel-nodes")
-        edges = materialize(edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "peel-edges")
-        level += 1
-    return nodes.select("node", F.lit(0).alias("level")).limit(0) if out is None else out
+        known = known.unionByName(new)
+    known = known.select(F.col("node").alias("k"), "level")
+    return at.join(known, F.col("anchor") == F.col("k")).select("node", (F.col("level") + F.col("steps")).cast("long").alias("level"))

@@ -10,85 +10,53 @@ alternates of the first. ``transition_graph``: how event types follow each other
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import types_of
-from ..graph import ProvGraph, empty, graph_of
+from ..graph import ProvGraph
+from .build import all_of, attr_rows, edge_rows, graph_from, id_of, node_rows
 
 
 def _table(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _id(prefix: str, *parts: str) -> Column:
-    return F.concat(F.lit(f"{prefix}:"), F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
-
-
-def _nodes(rows: DataFrame, bundle: str, node_id: Column, kind: str, *types: str, start: Column | None = None, end: Column | None = None, ordinal: Column | None = None) -> DataFrame:
-    null = F.lit(None).cast("timestamp")
-    return rows.select(
-        F.lit(bundle).alias("bundle_id"), node_id.alias("node_id"), F.lit(kind).alias("kind"), types_of(*types).alias("types"),
-        (null if start is None else start.cast("timestamp")).alias("start_time"), (null if end is None else end.cast("timestamp")).alias("end_time"), F.lit(False).alias("is_placeholder"), (F.lit(0) if ordinal is None else ordinal).cast("long").alias("ordinal"),
-    )
-
-
-def _edges(rows: DataFrame, bundle: str, relation: str, arg1: Column, arg2: Column) -> DataFrame:
-    """Edge ids are made of the relation and its ends, so that they are alike in every run."""
-    return rows.select(F.lit(bundle).alias("bundle_id"), F.concat_ws("|", F.lit(relation), arg1, arg2).alias("edge_id"), F.lit(relation).alias("relation"), arg1.alias("arg1"), arg2.alias("arg2"), F.lit(0).cast("long").alias("ordinal"))
-
-
-def _attrs(rows: DataFrame, record_id: Column, **values: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f"attr:{k}").alias("name"), F.col(c).cast("string").alias("value"), F.lit(rows.schema[c].dataType.simpleString()).alias("value_type")) for k, c in values.items()])
-    return rows.select(record_id.alias("record_id"), F.lit("node").alias("record_class"), F.inline(pairs), F.lit(0).cast("long").alias("ordinal")).select("record_id", "record_class", "name", "value", "value_type", "ordinal")
-
-
-def _all(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None) -> ProvGraph:
-    bundles = nodes.select("bundle_id").distinct()
-    return graph_of(nodes, edges, attrs, bundles=bundles, dedupe=False) if attrs is not None else graph_of(nodes, edges, empty(spark).attrs, bundles=bundles, dedupe=False)
-
-
 def order_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
     """Ids are unique by construction: items by (order, line), of repeated lines the first by the other columns."""
     t = _table(spark, sf_dir)
     orders, lines = t("orders"), t("lineitem")
-    line_id = _id("item", "l_orderkey", "l_linenumber")
-    order_of_line, part_of_line, supp_of_line = _id("order", "l_orderkey"), _id("part", "l_partkey"), _id("supp", "l_suppkey")
+    line_id = id_of("item", "l_orderkey", "l_linenumber")
+    order_of_line, part_of_line, supp_of_line = id_of("order", "l_orderkey"), id_of("part", "l_partkey"), id_of("supp", "l_suppkey")
     shipped = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     done = orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     # of the lines under one number the least (part, supplier, ship date, price) is the item
     item = F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     items = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(item).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-    nodes = _all(
-        _nodes(done, "bundle:orders", _id("order", "o_orderkey"), "activity", "cpm:MainActivity", start=F.col("o_orderdate"), end=F.col("shipped"), ordinal=F.col("o_orderkey")),
-        _nodes(items, "bundle:orders", line_id, "entity", ordinal=F.col("l_orderkey")),
-        _nodes(t("part"), "bundle:parts", _id("part", "p_partkey"), "entity", "cpm:BackwardConnector", ordinal=F.col("p_partkey")),
-        _nodes(t("customer"), "bundle:agents", _id("cust", "c_custkey"), "agent", "cpm:ReceiverAgent", ordinal=F.col("c_custkey")),
-        _nodes(t("supplier"), "bundle:agents", _id("supp", "s_suppkey"), "agent", "cpm:SenderAgent", ordinal=F.col("s_suppkey")),
-        _nodes(t("nation"), "bundle:agents", _id("nation", "n_nationkey"), "agent", ordinal=F.col("n_nationkey")),
-        _nodes(t("region"), "bundle:agents", _id("region", "r_regionkey"), "agent", ordinal=F.col("r_regionkey")),
+    nodes = all_of(
+        node_rows(done, "bundle:orders", id_of("order", "o_orderkey"), "activity", "cpm:MainActivity", start=F.col("o_orderdate"), end=F.col("shipped"), ordinal=F.col("o_orderkey")),
+        node_rows(items, "bundle:orders", line_id, "entity", ordinal=F.col("l_orderkey")),
+        node_rows(t("part"), "bundle:parts", id_of("part", "p_partkey"), "entity", "cpm:BackwardConnector", ordinal=F.col("p_partkey")),
+        node_rows(t("customer"), "bundle:agents", id_of("cust", "c_custkey"), "agent", "cpm:ReceiverAgent", ordinal=F.col("c_custkey")),
+        node_rows(t("supplier"), "bundle:agents", id_of("supp", "s_suppkey"), "agent", "cpm:SenderAgent", ordinal=F.col("s_suppkey")),
+        node_rows(t("nation"), "bundle:agents", id_of("nation", "n_nationkey"), "agent", ordinal=F.col("n_nationkey")),
+        node_rows(t("region"), "bundle:agents", id_of("region", "r_regionkey"), "agent", ordinal=F.col("r_regionkey")),
     )
-    edges = _all(
-        _edges(items, "bundle:orders", "generation", line_id, order_of_line),
-        _edges(items, "bundle:orders", "derivation", line_id, part_of_line),
-        _edges(items, "bundle:orders", "attribution", line_id, supp_of_line),
-        _edges(items.select("l_orderkey", "l_partkey").distinct(), "bundle:orders", "usage", order_of_line, part_of_line),
-        _edges(orders, "bundle:orders", "association", _id("order", "o_orderkey"), _id("cust", "o_custkey")),
-        _edges(t("customer"), "bundle:agents", "delegation", _id("cust", "c_custkey"), _id("nation", "c_nationkey")),
-        _edges(t("supplier"), "bundle:agents", "delegation", _id("supp", "s_suppkey"), _id("nation", "s_nationkey")),
-        _edges(t("nation"), "bundle:agents", "delegation", _id("nation", "n_nationkey"), _id("region", "n_regionkey")),
+    edges = all_of(
+        edge_rows(items, "bundle:orders", "generation", line_id, order_of_line),
+        edge_rows(items, "bundle:orders", "derivation", line_id, part_of_line),
+        edge_rows(items, "bundle:orders", "attribution", line_id, supp_of_line),
+        edge_rows(items.select("l_orderkey", "l_partkey").distinct(), "bundle:orders", "usage", order_of_line, part_of_line),
+        edge_rows(orders, "bundle:orders", "association", id_of("order", "o_orderkey"), id_of("cust", "o_custkey")),
+        edge_rows(t("customer"), "bundle:agents", "delegation", id_of("cust", "c_custkey"), id_of("nation", "c_nationkey")),
+        edge_rows(t("supplier"), "bundle:agents", "delegation", id_of("supp", "s_suppkey"), id_of("nation", "s_nationkey")),
+        edge_rows(t("nation"), "bundle:agents", "delegation", id_of("nation", "n_nationkey"), id_of("region", "n_regionkey")),
     )
-    attrs = _all(
-        _attrs(orders, _id("order", "o_orderkey"), priority="o_orderpriority", status="o_orderstatus"),
-        _attrs(items, line_id, quantity="l_quantity"),
+    attrs = all_of(
+        attr_rows(orders, id_of("order", "o_orderkey"), priority="o_orderpriority", status="o_orderstatus"),
+        attr_rows(items, line_id, quantity="l_quantity"),
     )
-    return _graph(spark, nodes, edges, attrs)
+    return graph_from(spark, nodes, edges, attrs)
 
 
 def activity_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
@@ -98,20 +66,20 @@ def activity_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
     turns = turns.withColumn("last", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     firsts = docs.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = docs.select("doc_id", F.md5("text").alias("key")).join(firsts, "key").filter("doc_id <> first")
-    turn = _id("turn", "conv_id", "turn")
-    nodes = _all(
-        _nodes(events, "bundle:events", _id("ev", "event_id"), "activity", start=F.col("ts"), ordinal=F.col("event_id")),
-        _nodes(turns, "bundle:conversations", turn, "entity", ordinal=F.col("conv_id")),
-        _nodes(turns.select("role").distinct(), "bundle:conversations", _id("role", "role"), "agent"),
-        _nodes(docs, "bundle:documents", _id("doc", "doc_id"), "entity", ordinal=F.col("doc_id")),
+    turn = id_of("turn", "conv_id", "turn")
+    nodes = all_of(
+        node_rows(events, "bundle:events", id_of("ev", "event_id"), "activity", start=F.col("ts"), ordinal=F.col("event_id")),
+        node_rows(turns, "bundle:conversations", turn, "entity", ordinal=F.col("conv_id")),
+        node_rows(turns.select("role").distinct(), "bundle:conversations", id_of("role", "role"), "agent"),
+        node_rows(docs, "bundle:documents", id_of("doc", "doc_id"), "entity", ordinal=F.col("doc_id")),
     )
-    edges = _all(
-        _edges(events.filter("last IS NOT NULL"), "bundle:events", "communication", _id("ev", "event_id"), _id("ev", "last")),
-        _edges(turns.filter("last IS NOT NULL"), "bundle:conversations", "derivation", turn, _id("turn", "conv_id", "last")),
-        _edges(turns, "bundle:conversations", "attribution", turn, _id("role", "role")),
-        _edges(copies, "bundle:documents", "alternate", _id("doc", "doc_id"), _id("doc", "first")),
+    edges = all_of(
+        edge_rows(events.filter("last IS NOT NULL"), "bundle:events", "communication", id_of("ev", "event_id"), id_of("ev", "last")),
+        edge_rows(turns.filter("last IS NOT NULL"), "bundle:conversations", "derivation", turn, id_of("turn", "conv_id", "last")),
+        edge_rows(turns, "bundle:conversations", "attribution", turn, id_of("role", "role")),
+        edge_rows(copies, "bundle:documents", "alternate", id_of("doc", "doc_id"), id_of("doc", "first")),
     )
-    return _graph(spark, nodes, edges)
+    return graph_from(spark, nodes, edges)
 
 
 def transition_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
@@ -121,6 +89,6 @@ def transition_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
     kind = F.concat_ws(":", "event_type", F.hour("ts").cast("string"))
     steps = events.select(kind.alias("kind"), F.lag(kind).over(w).alias("last"), F.lag("ts").over(w).alias("before"), "ts")
     close = steps.filter((F.col("last") != F.col("kind")) & (F.col("ts") <= F.col("before") + F.expr("INTERVAL 6 HOURS")))
-    nodes = _nodes(events.select(kind.alias("kind")).distinct(), "bundle:types", _id("type", "kind"), "activity")
-    edges = _edges(close.select("kind", "last").distinct(), "bundle:types", "communication", _id("type", "kind"), _id("type", "last"))
-    return _graph(spark, nodes, edges)
+    nodes = node_rows(events.select(kind.alias("kind")).distinct(), "bundle:types", id_of("type", "kind"), "activity")
+    edges = edge_rows(close.select("kind", "last").distinct(), "bundle:types", "communication", id_of("type", "kind"), id_of("type", "last"))
+    return graph_from(spark, nodes, edges)
