@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -101,44 +101,60 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _is_base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+_SCHEMA = "id long, host string, text_id binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """(doc_id, host, text_id, the statistics, base_failed, n_left, kept, gone) per row of ``docs``.
+def measured(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: id, host, MD5 of the text, statistics, hashes of its short lines."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("host"), "text").mapInArrow(_measure, _SCHEMA)
+
+
+def shared_lines(texts: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
+    """(hit_host, hit_text, removed, gone) for each distinct text of a host with lines above the limits.
 
-    ``n_left`` counts the words outside removed lines, ``gone`` has the hashes of these. A null host is a host of its own; null and
-    empty texts have no words and fail the base rules. Repeated rows get equal verdicts and count
-    as one document. An empty table gives an empty table.
+    ``texts`` has one row per host and distinct text; ``removed`` counts the words in the lines
+    that go, ``gone`` has their hashes.
     """
-    schema = "id long, host string, text_id binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("host"), "text").mapInArrow(_measure, schema), "quality-rows")
-    texts = rows.groupBy("host", "text_id").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    texts = materialize(texts, "quality-texts")
     hosts = texts.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("host_docs"))
     each = texts.select("host", "text_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     counts = each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
     common = counts.join(hosts, counts.host.eqNullSafe(hosts.h)).filter(F.col("docs") > max_share * F.col("host_docs"))
     common = materialize(common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line")), "quality-common")
     hit = each.join(common, each.host.eqNullSafe(common.common_host) & (each.line == common.common_line))
-    removed = hit.groupBy(F.col("host").alias("hit_host"), F.col("text_id").alias("hit_text")).agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
+    return hit.groupBy(F.col("host").alias("hit_host"), F.col("text_id").alias("hit_text")).agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
+
+
+def _distinct_texts(rows: DataFrame) -> DataFrame:
+    once = ["n_words", "n_repeat_words", "lines", "line_words"]
+    return rows.groupBy("host", "text_id").agg(*[F.first(c).alias(c) for c in once])
+
+
+def _verdict(rows: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     out = rows.drop("lines", "line_words").join(removed, rows.host.eqNullSafe(removed.hit_host) & (rows.text_id == removed.hit_text), "left")
+    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    return (
-        out.withColumn("base_failed", _is_base_failed())
-        .withColumn("n_left", left)
-        .withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
-        .select(F.col("id").alias("doc_id"), "host", "text_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "gone")
-    )
+    return out.withColumn("base_failed", base_failed).withColumn("n_left", left).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """(doc_id, host, text_id, the statistics, base_failed, n_left, kept, gone) per row of ``docs``.
+
+    ``n_left`` counts the words outside removed lines, ``gone`` has the hashes of these. A null
+    host is a host of its own; null and empty texts have no words and fail the base rules.
+    Repeated rows get equal verdicts and count as one document. An empty table gives an empty table.
+    """
+    rows = materialize(measured(docs), "quality-rows")
+    removed = shared_lines(materialize(_distinct_texts(rows), "quality-texts"), max_docs, max_share)
+    return _verdict(rows, removed, min_left).select(F.col("id").alias("doc_id"), "host", "text_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "gone")
 
 
-def quality_filter(docs: DataFrame, strip: bool = True, **limits) -> DataFrame:
+def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without their removed lines unless ``strip`` is false.
 
     Columns are those of ``docs``; repeated rows are kept or rejected together.
     """
-    verdict = judge(docs, **limits).filter("kept").groupBy(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text")).agg(F.first("gone").alias("gone"))
+    texts = materialize(_distinct_texts(measured(docs)), "quality-texts")
+    verdict = _verdict(texts, shared_lines(texts, max_docs, max_share), min_left).filter("kept").select(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text"), "gone")
     rows = docs.select(F.struct("*").alias("doc"), "text", F.col("source").cast("string").alias("host"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
     kept = rows.join(verdict, rows.host.eqNullSafe(verdict.kept_host) & (rows.text_id == verdict.kept_text))
     if strip:
