@@ -62,7 +62,7 @@ def template_graph(templates: DataFrame, merge_agents: bool = True) -> ProvGraph
 def _attributes(templates: DataFrame, main: DataFrame) -> DataFrame:
     def rows(items: DataFrame, fixed: list[tuple[str, Column]], rank: Column) -> DataFrame:
         pairs = F.array_compact(F.array(*[F.when(_filled(c), F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"))) for n, c in fixed]))
-        own = F.transform(F.map_entries(F.coalesce(F.col("x.attributes"), F.create_map().cast("map<string, string>"))), lambda e: F.struct(attribute_name(e["key"]).alias("name"), e["value"].alias("value")))
+        own = F.transform(F.map_entries(F.coalesce(F.col("x.attributes"), F.create_map().cast("map<string, string>"))), lambda e: F.named_struct(F.lit("name"), attribute_name(e["key"]), F.lit("value"), e["value"]))
         return items.select(F.col("x.id").alias("record_id"), rank.alias("rank"), F.posexplode(F.concat(pairs, own)).alias("ordinal", "pair")).select("record_id", "rank", F.col("ordinal").cast("long").alias("ordinal"), "pair.name", "pair.value")
 
     found = [rows(main, [("prov:startTime", F.col("x.startTime")), ("prov:endTime", F.col("x.endTime")), ("cpm:referencedMetaBundleId", F.col("x.referencedMetaBundleId"))], F.lit(0))]
@@ -116,9 +116,12 @@ def document_from_template(templates: DataFrame, domain: ProvGraph | None = None
 def template_findings(templates: DataFrame) -> DataFrame:
     """(bundleName, problem): required fields that are missing, in all six lists."""
     need = [F.when(~_filled("bundleName"), F.lit("bundleName")), F.when(F.col("mainActivity").isNull(), F.lit("mainActivity")), F.when(F.col("mainActivity").isNotNull() & ~_filled("mainActivity.id"), F.lit("mainActivity.id"))]
-    for name in LISTS:
-        bad = F.filter(F.transform(name, lambda x, i, name=name: F.when(~_filled(x["id"]), F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("].id")))), lambda p: p.isNotNull())
-        need.append(F.concat_ws(";", bad))
+
+    def lacking(name: str) -> Column:
+        at = F.transform(name, lambda x, i: F.when(~_filled(x["id"]), F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("].id"))))
+        return F.concat_ws(";", F.filter(at, lambda p: p.isNotNull()))
+
+    need += [lacking(name) for name in LISTS]
     problems = F.filter(F.flatten(F.array(*[F.split(F.coalesce(n, F.lit("")), ";") for n in need])), lambda p: p != "")
     return templates.select("bundleName", F.explode(problems).alias("problem"))
 
@@ -139,7 +142,7 @@ def agent_overlap(templates: DataFrame, merge_agents: bool = True) -> DataFrame:
 
     def detail(i: Column) -> Column:
         s, r = keys("senderAgents", i), keys("receiverAgents", i)
-        return F.struct(i.alias("id"), F.size(s).alias("sender_attributes"), F.size(r).alias("receiver_attributes"), F.size(F.array_union(s, r)).alias("total_attributes"), F.size(F.array_intersect(s, r)).alias("conflicts"))
+        return F.named_struct(F.lit("id"), i, F.lit("sender_attributes"), F.size(s), F.lit("receiver_attributes"), F.size(r), F.lit("total_attributes"), F.size(F.array_union(s, r)), F.lit("conflicts"), F.size(F.array_intersect(s, r)))
 
     return templates.select(
         "bundleName", F.size(ids("senderAgents")).alias("total_senders"), F.size(ids("receiverAgents")).alias("total_receivers"), F.size(both).alias("overlapping_count"), both.alias("overlapping_ids"),

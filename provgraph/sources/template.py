@@ -33,8 +33,8 @@ def _target(raw: Column) -> Column:
     """A relation given as an id or as an object with any of its key spellings."""
     keys = F.from_json(raw, "map<string, string>")
     return F.when(raw.isNull(), F.lit(None)).when(
-        raw.startswith("{"), F.struct(F.coalesce(keys["targetId"], keys["bcId"], keys["agentId"], F.lit("")).alias("targetId"), F.coalesce(keys["relationId"], keys["id"]).alias("relationId"))
-    ).otherwise(F.struct(raw.alias("targetId"), F.lit(None).cast("string").alias("relationId")))
+        raw.startswith("{"), F.named_struct(F.lit("targetId"), F.coalesce(keys["targetId"], keys["bcId"], keys["agentId"], F.lit("")), F.lit("relationId"), F.coalesce(keys["relationId"], keys["id"]))
+    ).otherwise(F.named_struct(F.lit("targetId"), raw, F.lit("relationId"), F.lit(None).cast("string")))
 
 
 def _normal(raw: DataFrame) -> DataFrame:
