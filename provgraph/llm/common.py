@@ -1,67 +1,16 @@
-"""Scratch tables, skew-free helpers and text expressions shared by the corpus operators."""
+"""Text expressions and helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+from ..plans.scratch import materialize, scratch_path
 
 #: Java regex of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master (driver and executors are one process) may run without the
-    setting; a folder of our own is then set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = f"file:///tmp/checkpoints/{sc.applicationId}"
-    sc.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    if not _SCRATCH:
-        atexit.register(_remove_scratch)
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def _remove_scratch() -> None:
-    for spark, path in _SCRATCH:
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001  the JVM may already be gone; the files are only scratch
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage (a lost executor costs a re-read, not a recomputation), and gives the
-    planner the table's true size, so that later joins broadcast only what really is small.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words (see WORD) of a whole text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -82,3 +31,6 @@ def clash_free(df: DataFrame, *wanted: str) -> dict[str, str]:
         have.add(new.lower())
         out[name] = new
     return out
+
+
+__all__ = ["WORD", "clash_free", "materialize", "n_words", "scratch_path", "table"]
