@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import ProvGraph
-from .operators import edit, merge, metrics, schedule, select, traverse, validate
+from .operators import edit, merge, metrics, schedule, select, templates, traverse, validate
+from .sinks import export
+from .sources import template
 from .sources.relational import activity_graph, order_graph, transition_graph
+from .streaming import edges as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,3 +506,104 @@ SELECT count(*) AS num_nodes, (SELECT count(*) FROM e) AS num_edges, (SELECT cou
   (SELECT count(DISTINCT component) FROM m) AS num_components, true AS is_dag, round((SELECT count(*) FROM q) / (count(*) * (count(*) - 1)), 12) AS density, round(avg(k), 9) AS average_degree, max(k) AS max_degree, min(k) AS min_degree FROM v""")
 def adapter_statistics(g):
     return metrics.graph_statistics(g).withColumns({"density": F.round("density", 12), "average_degree": F.round("average_degree", 9)})
+
+
+# --- export ----------------------------------------------------------------------------------
+
+
+@query("order", """z AS (SELECT 1) SELECT bundle_id, kind || '(' || node_id || coalesce(', [prov:type=''cpm:' || type || ''']', '') || ')' AS record FROM n WHERE kind = 'agent' OR node_id LIKE 'part:%'
+UNION ALL SELECT bundle_id, CASE relation WHEN 'delegation' THEN 'actedOnBehalfOf' WHEN 'association' THEN 'wasAssociatedWith' WHEN 'derivation' THEN 'wasDerivedFrom' WHEN 'attribution' THEN 'wasAttributedTo' WHEN 'usage' THEN 'used' ELSE 'wasGeneratedBy' END
+  || '(' || arg1 || ', ' || arg2 || CASE WHEN relation IN ('usage', 'generation') THEN ', -)' ELSE ')' END FROM e""")
+def provn_export(g):
+    """All agents, parts and relations as PROV-N statements."""
+    kept = g.with_(nodes=g.nodes.filter("kind = 'agent' OR node_id LIKE 'part:%'"))
+    return export.provn_lines(kept).select("bundle_id", "record")
+
+
+@query("activity", """z AS (SELECT 1) SELECT count(*) AS n_lines FROM (SELECT node_id FROM n UNION ALL SELECT node_id FROM n WHERE start_time IS NOT NULL UNION ALL SELECT arg1 FROM e)""")
+def ntriples_export(g):
+    return export.ntriples(g).agg(F.count("*").alias("n_lines"))
+
+
+@query("transition", """z AS (SELECT 1) SELECT node_id AS id, 'activity' AS section, '{}' AS record FROM n
+UNION ALL SELECT '_:' || md5('communication|' || arg1 || '|' || arg2), 'wasInformedBy', '{"prov:informed":"' || arg1 || '","prov:informant":"' || arg2 || '"}' FROM e""")
+def json_export(g):
+    return export.json_records(g).select("id", "section", "record")
+
+
+# --- templates -------------------------------------------------------------------------------
+
+
+def _order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template per order: what it uses and makes, its customer as receiver, its suppliers as senders."""
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    text = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
+    by = lines.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(text("part", "l_partkey"))).alias("parts"), F.array_sort(F.collect_set(text("supp", "l_suppkey"))).alias("supps"),
+        F.array_sort(F.collect_set(F.concat_ws(":", F.lit("item"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))).alias("items"), F.max("l_shipdate").alias("shipped"),
+    )
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    some = lambda c, f: F.transform(F.coalesce(c, F.array().cast("array<string>")), f)
+    item = lambda i: F.named_struct(F.lit("id"), i)
+    t = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.to_json(F.struct(
+        text("bundle", "o_orderkey").alias("bundleName"),
+        F.struct(text("order", "o_orderkey").alias("id"), iso("o_orderdate").alias("startTime"), iso("shipped").alias("endTime"), some(F.col("parts"), lambda i: F.named_struct(F.lit("targetId"), i)).alias("used"), some(F.col("items"), lambda i: i).alias("generated")).alias("mainActivity"),
+        some(F.col("parts"), item).alias("backwardConnectors"),
+        some(F.col("items"), lambda i: F.named_struct(F.lit("id"), i, F.lit("derivedFrom"), F.col("parts"))).alias("forwardConnectors"),
+        some(F.col("supps"), item).alias("senderAgents"), F.array(item(F.concat(F.lit("supp:"), F.col("o_custkey").cast("string")))).alias("receiverAgents"),
+    )).alias("value"))
+    return template.parse_templates(t)
+
+
+_TEMPLATES = """
+WITH t AS (SELECT 'bundle:' || o_orderkey AS bundle, o_orderkey, 'supp:' || o_custkey AS receiver, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps, count(DISTINCT l_linenumber) AS items,
+                  count(*) FILTER (l_suppkey = o_custkey) > 0 AS overlap, max(l_shipdate) IS NOT NULL AS timed
+           FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey)
+"""
+
+
+def _plain(f: Query, sql: str) -> Query:
+    QUERIES[f.__name__], SQL[f.__name__] = f, sql
+    return f
+
+
+def template_quality(spark, sf_dir):
+    q = templates.template_quality(_order_templates(spark, sf_dir))
+    return q.select(F.col("bundleName").alias("bundle"), "backward_connectors", "forward_connectors", "sender_agents", "receiver_agents", "quality_score", "quality_level", F.round("connector_ratio", 9).alias("connector_ratio"))
+
+
+_plain(template_quality, _TEMPLATES + """SELECT bundle, parts AS backward_connectors, items AS forward_connectors, supps AS sender_agents, 1 AS receiver_agents,
+  timed::INT + (items > 0 AND parts > 0)::INT AS quality_score, ['Poor', 'Fair', 'Good'][1 + timed::INT + (items > 0 AND parts > 0)::INT] AS quality_level, round((parts + items) / (supps + 1), 9) AS connector_ratio FROM t""")
+
+
+def template_agent_overlap(spark, sf_dir):
+    return templates.agent_overlap(_order_templates(spark, sf_dir)).select(F.col("bundleName").alias("bundle"), "total_senders", "total_receivers", "overlapping_count", "merge_recommended")
+
+
+_plain(template_agent_overlap, _TEMPLATES + "SELECT bundle, supps AS total_senders, 1 AS total_receivers, overlap::INT AS overlapping_count, overlap AS merge_recommended FROM t")
+
+
+def template_to_graph(spark, sf_dir):
+    return _census(templates.template_graph(_order_templates(spark, sf_dir)))
+
+
+_plain(template_to_graph, _TEMPLATES + """SELECT 'node' AS record, 'activity' AS kind, count(*) AS n_records FROM t UNION ALL SELECT 'node', 'entity', sum(parts + items)::BIGINT FROM t UNION ALL SELECT 'node', 'agent', sum(supps + 1 - overlap::INT)::BIGINT FROM t
+UNION ALL SELECT 'edge', 'usage', sum(parts)::BIGINT FROM t UNION ALL SELECT 'edge', 'generation', sum(items)::BIGINT FROM t UNION ALL SELECT 'edge', 'derivation', sum(items * parts)::BIGINT FROM t""")
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def stream_degrees(spark, sf_dir):
+    return stream.drain(spark, stream.degrees(stream.event_edges(stream.stream_of(spark, sf_dir, "events"))), "complete", "degrees")
+
+
+_plain(stream_degrees, "SELECT 'user:' || user_id AS dst, count(*) AS degree FROM events GROUP BY user_id")
+
+
+def stream_windows(spark, sf_dir):
+    counts = stream.windowed_counts(stream.event_edges(stream.stream_of(spark, sf_dir, "events")))
+    return stream.drain(spark, counts, "complete", "windows")
+
+
+_plain(stream_windows, "SELECT date_trunc('day', ts) AS window_start, 'association' AS relation, count(*) AS n_edges FROM events GROUP BY 1")

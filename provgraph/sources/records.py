@@ -11,7 +11,7 @@ from ..functions.names import normal_datetime
 from ..graph import ProvGraph
 from .build import all_of, attr_rows, edge_rows, graph_from, node_rows
 
-# Namespaces of the biobank bundles.
+# Namespaces of the biobank bundles, and the hospital that sends samples in patient files.
 BIOBANK_PREFIXES = {
     "bbmri": "http://www.bbmri.cz/schemas/biobank/data#", "cpm": "https://www.commonprovenancemodel.org/cpm-namespace-v1-0/", "pbm": "http://commonprovenancemodel.org/ns/pbm/", "dct": "http://purl.org/dc/terms/",
 }
@@ -48,10 +48,14 @@ def biobank_graph(patients: DataFrame, samples: DataFrame, storage: DataFrame) -
     The patient of a sample may be missing; its entity and derivations then are. A storage record
     adds its place and time to the storage activity.
     """
-    spark = samples.sparkSession
     one = patients.groupBy("patient_id").agg(*[F.min(c).alias(c) for c in ("sex", "birth_year", "gave_consent")]).withColumnRenamed("patient_id", "known_patient")
     kept = storage.groupBy(F.col("sample_id").alias("stored_sample")).agg(F.min_by(F.struct("storage_location", "stored_at", "operator_id"), F.struct("stored_at", "storage_id")).alias("kept"))
     s = samples.join(one, F.col("patient_id") == F.col("known_patient"), "left").join(kept, F.col("sample_id") == F.col("stored_sample"), "left")
+    return _storage_bundles(s.withColumn("stored_at", F.col("kept.stored_at")))
+
+
+def _storage_bundles(s: DataFrame) -> ProvGraph:
+    """A bundle per row: transport and storage of a sample, between its two connectors."""
     k = ("patient_id", "sample_id")
     bundle = _name("storageBundle", *k)
     main, back, front = _name("storage", *k), _name("sampleAcqConnector", *k), _name("sampleStorConnector", *k)
@@ -60,7 +64,7 @@ def biobank_graph(patients: DataFrame, samples: DataFrame, storage: DataFrame) -
     with_patient = s.filter("known_patient IS NOT NULL")
     nodes = all_of(
         node_rows(s, bundle, main, "activity", "cpm:mainActivity"), node_rows(s, bundle, back, "entity", "cpm:backwardConnector"), node_rows(s, bundle, front, "entity", "cpm:forwardConnector"), node_rows(s, bundle, sender, "agent", "cpm:senderAgent"),
-        node_rows(s, bundle, transport, "activity", "pbm:transportActivity"), node_rows(s, bundle, sample, "entity", "pbm:sample"), node_rows(s, bundle, act, "activity", "pbm:storageActivity", start=F.col("kept.stored_at")),
+        node_rows(s, bundle, transport, "activity", "pbm:transportActivity"), node_rows(s, bundle, sample, "entity", "pbm:sample"), node_rows(s, bundle, act, "activity", "pbm:storageActivity", start=F.col("stored_at")),
         node_rows(s, bundle, stored, "entity", "bbmri:diagnosticMaterial"), node_rows(with_patient, bundle, patient, "entity", "pbm:source"),
     )
     edges = all_of(
@@ -73,9 +77,10 @@ def biobank_graph(patients: DataFrame, samples: DataFrame, storage: DataFrame) -
         attr_rows(s, stored, bbmri__sampleId="sample_id", bbmri__storageType="storage_type", bbmri__materialType="material_type", bbmri__diagnosis="diagnosis", bbmri__takingDate=F.date_format("taking_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         attr_rows(with_patient, patient, bbmri__sex="sex", bbmri__birthYear=F.col("birth_year").cast("string"), bbmri__gaveConsent=F.lower(F.col("gave_consent").cast("string"))),
     )
-    return graph_from(spark, nodes, edges, attrs, BIOBANK_PREFIXES, dedupe=True)
+    return _per_bundle(s, nodes, edges, attrs)
 
 
+HOSPITAL = "UNI"
 _PATIENT = "_id string, _biobank string, _consent boolean, _month string, _sex string, _year int"
 _TISSUE = "_sampleId string, _number string, _year string, samplesNo int, availableSamplesNo int, materialType string, pTNM string, morphology string, diagnosis string, cutTime string, freezeTime string, retrieved string"
 _MATERIAL = "_sampleId string, _number string, _year string, materialType string, diagnosis string, takingDate string, retrieved string"
@@ -118,18 +123,8 @@ def _per_bundle(s: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFra
     return graph_from(s.sparkSession, nodes.distinct(), edges, attrs.distinct(), BIOBANK_PREFIXES)
 
 
-def storage_graph(s: DataFrame) -> ProvGraph:
+def storage_graph(s: DataFrame, hospital: str = HOSPITAL) -> ProvGraph:
     """One storage bundle per sample row of ``read_patient_samples``."""
-    k = ("patient_id", "sample_id")
-    bundle, main, back, front = _name("storageBundle", *k), _name("storage", *k), _name("sampleAcqConnector", *k), _name("sampleStorConnector", *k)
-    sender, stored, act = F.concat(F.lit("bbmri:"), F.col("biobank")), _name("sampleStorage", *k), _name("storageAct", *k)
-    nodes = all_of(
-        node_rows(s, bundle, main, "activity", "cpm:mainActivity"), node_rows(s, bundle, back, "entity", "cpm:backwardConnector"), node_rows(s, bundle, front, "entity", "cpm:forwardConnector"),
-        node_rows(s, bundle, sender, "agent", "cpm:senderAgent"), node_rows(s, bundle, stored, "entity", "pbm:sample"), node_rows(s, bundle, act, "activity", "pbm:storageActivity"),
-    )
-    edges = all_of(
-        edge_rows(s, bundle, "usage", main, back), edge_rows(s, bundle, "generation", front, main), edge_rows(s, bundle, "derivation", front, back), edge_rows(s, bundle, "attribution", back, sender),
-        edge_rows(s, bundle, "generation", stored, act), edge_rows(s, bundle, "specialization", stored, front),
-    )
-    attrs = all_of(attr_rows(s, main, dct__hasPart=act), attr_rows(s, back, cpm__referencedBundleId=_name("acquisitionBundle", *k)), attr_rows(s, stored, bbmri__sampleId="sample_id", bbmri__storageType="storage", bbmri__diagnosis="diagnosis"))
-    return _per_bundle(s, nodes, edges, attrs)
+    return _storage_bundles(s.withColumns({
+        "hospital_id": F.lit(hospital), "storage_type": F.col("storage"), "known_patient": F.col("patient_id"), "gave_consent": F.col("consent"), "taking_date": F.lit(None).cast("timestamp"), "stored_at": F.lit(None).cast("timestamp"),
+    }))
