@@ -111,9 +111,9 @@ def successor_connectors(g: ProvGraph, connector_id: str | None = None) -> DataF
 
 
 def related_connectors(g: ProvGraph, connector_id: str | None = None, direction: str = "both") -> DataFrame:
-    """Closure over connectors: ``forward`` (derived from it), ``backward``, or ``both`` mixed."""
+    """Closure over connectors in the doc view: ``forward``, ``backward``, or ``both`` mixed."""
     e = _connector_edges(g)
-    e = {"forward": _reversed(e), "backward": e, "both": e.union(_reversed(e))}[direction]
+    e = {"forward": e, "backward": _reversed(e), "both": e.union(_reversed(e))}[direction]
     return fixpoint.reach(e, _starts(g, connector_id))
 
 
@@ -142,13 +142,13 @@ def traversal_part(g: ProvGraph) -> ProvGraph:
 
 
 def derivation_chains(g: ProvGraph) -> DataFrame:
-    """(node_id, last, length): from every entity along the first derivation that starts at each step's
-    source, as long as it stays on entities; length counts nodes.
+    """(node_id, last, length): from every entity along derivations, as long as it stays on entities;
+    length counts nodes.
 
-    In the doc view, a step goes from a node to the source of the first edge (by arrival) that
-    points at it, whatever the edge's relation.
+    In the doc view, a step goes from a node to the source of the first derivation (by arrival)
+    that points at it.
     """
-    e = g.view("doc")
+    e = g.view("doc").filter(is_relation("derivation"))
     first = e.withColumn("n", F.row_number().over(Window.partitionBy("dst").orderBy("ordinal", "src"))).filter("n = 1")
     entity = g.nodes.filter("kind = 'entity'").select("node_id")
     parents = first.select(F.col("dst").alias("node"), F.col("src").alias("parent"))

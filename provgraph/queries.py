@@ -316,7 +316,7 @@ def find_paths(g):
     return traverse.find_paths(g, pairs).select("source", "target", F.array_join("path", " ").alias("path"))
 
 
-@query("activity", """f AS (SELECT dst AS node, src AS parent FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM e) WHERE k = 1),
+@query("activity", """f AS (SELECT dst AS node, src AS parent FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM e WHERE relation = 'derivation') WHERE k = 1),
 p AS (SELECT node, parent FROM f JOIN n x ON x.node_id = node AND x.kind = 'entity' JOIN n y ON y.node_id = parent AND y.kind = 'entity'),
 c AS (SELECT node_id AS start, node_id AS here, 1 AS length FROM n WHERE kind = 'entity' UNION ALL SELECT start, parent, length + 1 FROM c JOIN p ON here = node),
 l AS (SELECT start, max(length) AS length FROM c GROUP BY start)
