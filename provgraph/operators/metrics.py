@@ -121,17 +121,20 @@ def betweenness(g: ProvGraph, view: str = "doc", all_targets: bool = False) -> D
     """(node_id, betweenness): share of shortest paths through a node, scaled by 2 / ((n-1)(n-2)).
 
     Sources and targets are nodes with an out-edge (all reached nodes with ``all_targets``), and n
-    counts them. The paths themselves are enumerated: meant for typed subgraphs.
+    counts them. Paths are counted, not listed: of the shortest ways from s to t, those through v
+    are the ways to v times the ways on, where the distances add up. It looks at all pairs of
+    nodes with what lies between, so it is meant for typed subgraphs.
     """
     a = materialize(g.adjacency(view), "between-edges")
-    sources = a.select(F.col("src").alias("node")).distinct()
-    paths = fixpoint.shortest_paths(a)
-    if not all_targets:
-        paths = paths.join(sources, "node", "left_semi")
+    sources = materialize(a.select(F.col("src").alias("node")).distinct(), "between-nodes")
+    ways = materialize(fixpoint.shortest_counts(a), "between-ways")
+    ends = ways if all_targets else ways.join(sources, "node", "left_semi")
+    to_v = ways.select("start", F.col("node").alias("v"), F.col("depth").alias("d1"), F.col("ways").alias("w1"))
+    on = ends.select(F.col("start").alias("v"), F.col("node").alias("target"), F.col("depth").alias("d2"), F.col("ways").alias("w2"))
+    whole = ends.select("start", F.col("node").alias("target"), F.col("depth").alias("d"), F.col("ways").alias("w"))
+    through = to_v.join(on, "v").filter("start <> target").join(whole, ["start", "target"]).filter("d1 + d2 = d")
     n = sources.agg(F.count("*").alias("n"))
-    per = F.count("*").over(Window.partitionBy("start", "node"))
-    inner = paths.withColumn("share", F.lit(1.0) / per).filter(F.size("path") > 2).select(F.explode(F.slice("path", 2, F.size("path") - 2)).alias("node_id"), "share")
-    total = inner.groupBy("node_id").agg(F.sum("share").alias("total")).join(F.broadcast(n))
+    total = through.groupBy(F.col("v").alias("node_id")).agg(F.sum(F.col("w1") * F.col("w2") / F.col("w")).alias("total")).join(F.broadcast(n))
     return total.select("node_id", F.when(F.col("n") > 2, F.col("total") * 2 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.col("total")).alias("betweenness"))
 
 

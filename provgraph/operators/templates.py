@@ -11,6 +11,7 @@ from ..errors import TemplateError
 from ..functions.names import attribute_name
 from ..functions.types import types_of
 from ..graph import ProvGraph, empty, graph_of
+from ..plans.scratch import materialize
 from ..sources.build import edge_rows
 from ..sources.template import LISTS
 
@@ -39,6 +40,7 @@ def template_graph(templates: DataFrame, merge_agents: bool = True) -> ProvGraph
     element of the template are left out.
     """
     spark = templates.sparkSession
+    templates = materialize(templates, "templates")  # every list is read on its own
     main = templates.select(F.col("bundleName").alias("bundle_id"), F.col("mainActivity").alias("x"))
     null = F.lit(None).cast("timestamp")
     parts = [main.select("bundle_id", F.col("x.id").alias("node_id"), F.lit("activity").alias("kind"), types_of("cpm:MainActivity").alias("types"), F.try_to_timestamp("x.startTime").alias("start_time"), F.try_to_timestamp("x.endTime").alias("end_time"), F.lit(0).cast("long").alias("ordinal"))]

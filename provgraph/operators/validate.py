@@ -172,6 +172,7 @@ class Validator:
         self.rules.pop(name, None)
 
     def findings(self, g: ProvGraph, template: DataFrame | None = None) -> DataFrame:
+        g = g.materialized()  # every rule reads the same tables
         rules = dict(self.rules)
         if template is not None:
             rules["template_compliance"] = template_compliance(template)
@@ -228,6 +229,7 @@ def structure(g: ProvGraph, orphans: bool = True) -> DataFrame:
     orphan under info although its level is WARNING. Connectors are held against the first main
     activity.
     """
+    g = g.materialized()
     mains = select.main_activities(g)
     count = mains.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("node_id")), ", ").alias("ids"))
     forward, backward = select.forward_connectors(g), select.backward_connectors(g)

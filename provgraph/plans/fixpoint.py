@@ -70,6 +70,19 @@ def shortest_paths(edges: DataFrame, starts: DataFrame | None = None) -> DataFra
     return seen
 
 
+def shortest_counts(edges: DataFrame) -> DataFrame:
+    """(start, node, depth, ways): distance and number of shortest paths, without listing them."""
+    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "count-edges")
+    depth = 1
+    seen = frontier = materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.lit(1.0).alias("ways")), "counts-1")
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edges, frontier.node == edges.src).filter("start <> dst").groupBy("start", F.col("dst").alias("node")).agg(F.lit(depth).alias("depth"), F.sum("ways").alias("ways"))
+        frontier = materialize(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "counts-next")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): weakly connected, named by the least node; nodes without edges are their own.
 

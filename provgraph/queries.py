@@ -584,7 +584,7 @@ _plain(template_agent_overlap, _TEMPLATES + "SELECT bundle, supps AS total_sende
 
 
 def template_to_graph(spark, sf_dir):
-    return _census(templates.template_graph(_order_templates(spark, sf_dir)))
+    return _census(templates.template_graph(_order_templates(spark, sf_dir)).materialized())
 
 
 _plain(template_to_graph, _TEMPLATES + """SELECT 'node' AS record, 'activity' AS kind, count(*) AS n_records FROM t UNION ALL SELECT 'node', 'entity', sum(parts + items)::BIGINT FROM t UNION ALL SELECT 'node', 'agent', sum(supps + 1 - overlap::INT)::BIGINT FROM t

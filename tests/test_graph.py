@@ -1,5 +1,7 @@
 """Graph operators on small fixtures, by value."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,34 @@ def test_placeholders(spark):
     assert len(d) == 5 and d.get_edges().count() == 4
     s = ProvenanceDocument.create_simple_graph(spark, ["a", "b", "c"], [("x", "a", "b")]).get_graph_statistics()
     assert (s["num_nodes"], s["num_edges"], s["num_components"], s["is_dag"], s["max_degree"], s["min_degree"], s["average_degree"]) == (4, 2, 2, True, 2, 0, 1.0) and s["density"] == pytest.approx(1 / 6)
+
+
+def test_betweenness_by_listing_paths(spark):
+    rng = random.Random(5)
+    edges = sorted({(f"n{a}", f"n{b}") for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(40)) if a != b})
+
+    class Graph:
+        def adjacency(self, view):
+            return spark.createDataFrame(edges, "src string, dst string")
+
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    total = {}
+    for s in after:
+        paths, front = {s: [[s]]}, [s]
+        while front:
+            new = {}
+            for u in front:
+                for v in after.get(u, []):
+                    if v not in paths:
+                        new.setdefault(v, []).extend([*p, v] for p in paths[u])
+            paths |= new
+            front = list(new)
+        for t in set(after) & set(paths) - {s}:
+            for p in paths[t]:
+                for v in p[1:-1]:
+                    total[v] = total.get(v, 0) + 1 / len(paths[t])
+    n = len(after)
+    got = {r.node_id: r.betweenness for r in metrics.betweenness(Graph()).collect()}
+    assert got == {v: pytest.approx(x * 2 / ((n - 1) * (n - 2))) for v, x in total.items()}
