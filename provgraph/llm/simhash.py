@@ -212,10 +212,19 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int
 
     Of rows that share this id, the one with the least MD5 of id and text stays, once.
     """
-    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.coalesce("text", F.lit(""))))
-    keyed = docs.select(F.struct("*").alias("doc"), "text", F.col("doc_id").alias("id"), row.alias("row"))
+    keyed = row_keyed(docs)
     rows = materialize(fingerprints(keyed, F.col("id"), F.col("row"), shingle=shingle), "simhash-rows")
-    found = rows.join(classes(rows.select("id", "fp"), distance), "fp")
+    return one_of_each(keyed, rows.join(classes(rows.select("id", "fp"), distance), "fp"))
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """(doc, text, id, row): ``row`` is the MD5 of id and text."""
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.coalesce("text", F.lit(""))))
+    return docs.select(F.struct("*").alias("doc"), "text", F.col("doc_id").alias("id"), row.alias("row"))
+
+
+def one_of_each(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of ``keyed`` whose ``row`` comes first in a root of ``found`` (id, row, root)."""
     kept = found.groupBy("root").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("row"))
     once = keyed.select("row", "doc").join(kept.select("row").distinct(), "row", "left_semi")
     return once.groupBy("row").agg(F.first("doc").alias("doc")).select("doc.*")
