@@ -22,8 +22,6 @@ from .common import materialize
 
 #: A line is removed if more than this many distinct documents of its host have it, and more than this share.
 MAX_LINE_DOCS, MAX_LINE_SHARE = 20, 0.01
-#: Only lines of fewer words than this can be boilerplate; longer ones are passages, which dedup handles.
-MAX_LINE_WORDS = 50
 #: A document is depleted if fewer than this share of its words are left.
 MIN_LEFT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -68,11 +66,11 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Hash of each distinct normalised line of 1 to ``MAX_LINE_WORDS - 1`` words, and the words in all its repeats."""
+    """Hash of each distinct normalised line with a word, and the words in all its repeats."""
     found: dict[int, int] = {}
     for line in (text or "").encode().split(b"\n"):
         words = line.split()
-        if 0 < len(words) < MAX_LINE_WORDS:
+        if words:
             key = line_hash(words)
             found[key] = found.get(key, 0) + len(words)
     return list(found), list(found.values())
@@ -83,8 +81,8 @@ def line_hash(words: list[bytes]) -> int:
 
 
 def without_lines(text: str, gone: set[int]) -> str:
-    """The text without the lines whose hash is in ``gone``; long lines and lines without a word stay."""
-    return "\n".join(x for x in text.split("\n") if not 0 < len(words := x.encode().split()) < MAX_LINE_WORDS or line_hash(words) not in gone)
+    """The text without the lines whose hash is in ``gone``; lines without a word stay."""
+    return "\n".join(x for x in text.split("\n") if not (words := x.encode().split()) or line_hash(words) not in gone)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +103,7 @@ _SCHEMA = "id long, host string, text_id binary, n_words long, word_chars long,
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: id, host, MD5 of the text, statistics, hashes of its short lines."""
+    """One row per row of ``docs``: id, host, MD5 of the text, statistics, hashes of its lines."""
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("host"), "text").mapInArrow(_measure, _SCHEMA)
 
 

@@ -101,6 +101,16 @@ def test_quality_filter(spark, odd_docs, no_docs):
     assert quality.quality_filter(no_docs).count() == 0
 
 
+def test_long_lines_are_boilerplate_too(spark):
+    name = lambda i: "".join("klmnopqrst"[int(d)] for d in str(i))
+    terms = " ".join(f"licence{name(k)}" for k in range(60))
+    rows = [(i, f"{terms}\n" + " ".join(f"{name(i)}{name(k)}" for k in range(40)), "host") for i in range(25)] + [(99, f"{terms}\nlittle else", "host")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text for r in quality.quality_filter(docs).collect()}
+    assert set(kept) == set(range(25)) and not any(terms in t for t in kept.values())
+    assert {r.n_left for r in quality.judge(docs).filter("doc_id < 99").collect()} == {40}
+
+
 # --- WARC
 
 
