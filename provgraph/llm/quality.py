@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A line is removed if more than this many distinct documents of its host have it, and more than this share.
-MAX_LINE_DOCS, MAX_LINE_SHARE = 20, 0.01
+#: A line is removed if more than this many distinct documents of its host have it, whatever the size of the host.
+MAX_LINE_DOCS = 20
 #: A document is depleted if fewer than this share of its words are left.
 MIN_LEFT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -107,16 +107,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("host"), "text").mapInArrow(_measure, _SCHEMA)
 
 
-def shared_lines(texts: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """(hit_host, hit_text, removed, gone) for each distinct text of a host with lines above the limits.
+def shared_lines(texts: DataFrame, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """(hit_host, hit_text, removed, gone) for each distinct text of a host with lines above the limit.
 
     ``texts`` has one row per host and distinct text; ``removed`` counts the words in the lines
     that go, ``gone`` has their hashes.
     """
-    hosts = texts.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("host_docs"))
     each = texts.select("host", "text_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    common = counts.join(hosts, counts.host.eqNullSafe(hosts.h)).filter(F.col("docs") > max_share * F.col("host_docs"))
+    common = each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
     common = materialize(common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line")), "quality-common")
     hit = each.join(common, each.host.eqNullSafe(common.common_host) & (each.line == common.common_line))
     return hit.groupBy(F.col("host").alias("hit_host"), F.col("text_id").alias("hit_text")).agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
@@ -134,7 +132,7 @@ def _verdict(rows: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     return out.withColumn("base_failed", base_failed).withColumn("n_left", left).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """(doc_id, host, text_id, the statistics, base_failed, n_left, kept, gone) per row of ``docs``.
 
     ``n_left`` counts the words outside removed lines, ``gone`` has the hashes of these. A null
@@ -142,17 +140,17 @@ def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX
     Repeated rows get equal verdicts and count as one document. An empty table gives an empty table.
     """
     rows = materialize(measured(docs), "quality-rows")
-    removed = shared_lines(materialize(_distinct_texts(rows), "quality-texts"), max_docs, max_share)
+    removed = shared_lines(materialize(_distinct_texts(rows), "quality-texts"), max_docs)
     return _verdict(rows, removed, min_left).select(F.col("id").alias("doc_id"), "host", "text_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "gone")
 
 
-def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without their removed lines unless ``strip`` is false.
 
     Columns are those of ``docs``; repeated rows are kept or rejected together.
     """
     texts = materialize(_distinct_texts(measured(docs)), "quality-texts")
-    verdict = _verdict(texts, shared_lines(texts, max_docs, max_share), min_left).filter("kept").select(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text"), "gone")
+    verdict = _verdict(texts, shared_lines(texts, max_docs), min_left).filter("kept").select(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text"), "gone")
     rows = docs.select(F.struct("*").alias("doc"), "text", F.col("source").cast("string").alias("host"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
     kept = rows.join(verdict, rows.host.eqNullSafe(verdict.kept_host) & (rows.text_id == verdict.kept_text))
     if strip:

@@ -111,6 +111,13 @@ def test_long_lines_are_boilerplate_too(spark):
     assert {r.n_left for r in quality.judge(docs).filter("doc_id < 99").collect()} == {40}
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    name = lambda i: "".join("klmnopqrst"[int(d)] for d in str(i))
+    rows = [(i, " ".join(f"{name(i)}{name(k)}" for k in range(20)) + ("\nall rights reserved" if i < 25 else "\nsome rights reserved" if i < 45 else ""), "host") for i in range(3000)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.n_left) for r in got.filter("n_left < n_words").collect()} == {(i, 20) for i in range(25)}
+
+
 # --- WARC
 
 
