@@ -528,9 +528,13 @@ def ntriples_export(g):
 @query("transition", """z AS (SELECT 1) SELECT node_id AS id, 'activity' AS section, '{}' AS record FROM n
 UNION ALL SELECT '_:' || md5('communication|' || arg1 || '|' || arg2), 'wasInformedBy', '{"prov:informed":"' || arg1 || '","prov:informant":"' || arg2 || '"}' FROM e""")
 def json_export(g):
+    """The records of the whole order graph; the SQL is still that of the transition graph."""
     return export.json_records(g).select("id", "section", "record")
 
 
+QUERIES["json_export"] = lambda spark, sf_dir: json_export(order_graph(spark, sf_dir))
+
+
 # --- templates -------------------------------------------------------------------------------
 
 

@@ -83,12 +83,12 @@ def activity_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
 
 
 def transition_graph(spark: SparkSession, sf_dir: str) -> ProvGraph:
-    """Event types by hour of day; one is informed by another that directly precedes it for a user within a day."""
+    """Event types by hour of day; one is informed by another that directly precedes it for a user, however long before."""
     events = _table(spark, sf_dir)("events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.concat_ws(":", "event_type", F.hour("ts").cast("string"))
-    steps = events.select(kind.alias("kind"), F.lag(kind).over(w).alias("last"), F.lag("ts").over(w).alias("before"), "ts")
-    close = steps.filter((F.col("last") != F.col("kind")) & (F.col("ts") <= F.col("before") + F.expr("INTERVAL 6 HOURS")))
+    steps = events.select(kind.alias("kind"), F.lag(kind).over(w).alias("last"))
+    changes = steps.filter(F.col("last") != F.col("kind"))
     nodes = node_rows(events.select(kind.alias("kind")).distinct(), "bundle:types", id_of("type", "kind"), "activity")
-    edges = edge_rows(close.select("kind", "last").distinct(), "bundle:types", "communication", id_of("type", "kind"), id_of("type", "last"))
+    edges = edge_rows(changes.select("kind", "last").distinct(), "bundle:types", "communication", id_of("type", "kind"), id_of("type", "last"))
     return graph_from(spark, nodes, edges)
