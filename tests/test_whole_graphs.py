@@ -23,3 +23,15 @@ def test_json_export_has_the_order_graph(spark, sf):
     one = orders.orderBy("o_orderkey").first()
     record = json.loads(got.filter(F.col("id") == f"order:{one.o_orderkey}").first().record)
     assert record["prov:startTime"] == one.o_orderdate.strftime("%Y-%m-%dT%H:%M:%S") and one.o_orderpriority in json.dumps(record)
+
+
+def test_provn_export_has_orders_and_items(spark, sf):
+    orders, lines = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    got = queries.QUERIES["provn_export"](spark, sf).cache()
+    assert got.filter("record LIKE 'activity(order:%'").count() == orders.count()
+    assert got.filter("record LIKE 'entity(item:%'").count() == lines.select("l_orderkey", "l_linenumber").distinct().count()
+    g = relational.order_graph(spark, sf)
+    assert got.count() == g.nodes.count() + g.edges.count()
+    one = orders.orderBy("o_orderkey").first()
+    record = got.filter(F.col("record").startswith(f"activity(order:{one.o_orderkey},")).first().record
+    assert one.o_orderdate.strftime("%Y-%m-%dT%H:%M:%S") in record and f'"{one.o_orderpriority}"' in record
