@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -83,13 +83,15 @@ def shortest_counts(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): weakly connected, named by the least node; nodes without edges are their own.
+def contract(links: DataFrame) -> DataFrame | None:
+    """(node, root) of every node of ``links`` (a, b): one root per connected component; None without links.
 
-    Rounds contract links: each node moves to the neighbour with the least hash of that round,
-    links between nodes that moved apart go on. Hashes change per round, so chains shrink fast.
+    Each round, every node moves to the neighbour (or itself) with the least hash of that round;
+    links between nodes that moved apart go on, until none is left. Hashes differ from round to
+    round, so a long chain shrinks by a constant factor each time. A round's tables go when the
+    next is written.
     """
-    links = materialize(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct(), "links")
+    links = materialize(links.select("a", "b").filter("a <> b"), "links")
     member = None
     turn = 0
     while not links.isEmpty():
@@ -98,17 +100,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         def rank(c: str) -> Column:
             return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("node"))  # noqa: B023
 
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("least"))
         parent = materialize(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("root")), "link-parents")
-        if member is None:
+        before = member
+        if before is None:
             member = parent
         else:
             step = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            member = materialize(member.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "link-members")
+            member = materialize(before.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "link-members")
         ends = [parent.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
         moved = links.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
-        links = materialize(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
+        apart = materialize(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
+        discard(links, before, None if parent is member else parent)
+        links = apart
+    discard(links)
+    return member
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): weakly connected, named by the least node; nodes without edges are their own."""
+    member = contract(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     alone = nodes.select("node")
     if member is None:
         return alone.select("node", F.col("node").alias("component"))
@@ -130,8 +142,9 @@ def chase(parents: DataFrame) -> DataFrame:
         moved = jump.filter(F.col("steps") <= limit).join(ahead, "last", "left")
         if moved.filter("next IS NOT NULL").isEmpty():
             break
-        stay = jump.filter(F.col("steps") > limit)
+        stay, before = jump.filter(F.col("steps") > limit), jump
         jump = materialize(moved.select("node", F.coalesce("next", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")).union(stay.select("node", "last", "steps")), "chase")
+        discard(before)
     endless = jump.filter(F.col("steps") > limit).select("node")
     if endless.isEmpty():
         return jump

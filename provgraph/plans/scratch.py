@@ -39,9 +39,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def _remove_scratch() -> None:
     for spark, path in _SCRATCH:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may already be gone; the files are only scratch
             return
 
@@ -55,4 +53,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote. Only for tables that nothing reads any more."""
+    for table in tables:
+        if (path := getattr(table, "scratch_path", None)) is not None:
+            _delete(table.sparkSession, path)
+            _SCRATCH.remove((table.sparkSession, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
