@@ -1,9 +1,12 @@
 """Quality rules: statistics of each text, and lines that too many documents of a host share.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space to single spaces, ends stripped)
-and hashed. Per host (``source``) the distinct documents with each line are counted; whole
-copies of a text are one document, so that a copied document does not turn into boilerplate.
+and hashed. Per host (``source``) the distinct documents (ids) with each line are counted.
 Lines above the limit are removed, and a document of which too little is left is rejected.
+
+``copies_once`` counts whole copies of a text as one document, so that a text which was crawled
+often does not turn into boilerplate as a whole. The pipeline sets it, as its next stage keeps
+one document of each group of copies; without it that stage would find none of them left.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -107,15 +110,22 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("host"), "text").mapInArrow(_measure, _SCHEMA)
 
 
-def shared_lines(texts: DataFrame, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
+def _unit(copies_once: bool) -> Column:
+    """What counts as one document: the text, or the id (a row without an id counts by its text)."""
+    return F.hex("text_id") if copies_once else F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.hex("text_id"))
+
+
+def shared_lines(rows: DataFrame, max_docs: int = MAX_LINE_DOCS, copies_once: bool = False) -> DataFrame:
     """(hit_host, hit_text, removed, gone) for each distinct text of a host with lines above the limit.
 
-    ``texts`` has one row per host and distinct text; ``removed`` counts the words in the lines
-    that go, ``gone`` has their hashes.
+    ``removed`` counts the words in the lines that go, ``gone`` has their hashes. The distinct
+    documents of a line are counted by (host, line, document) first, so that neither a host nor a
+    line is gathered in one task.
     """
-    each = texts.select("host", "text_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    common = each.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    lines = rows.select("host", _unit(copies_once).alias("unit"), F.explode("lines").alias("line"))
+    common = lines.groupBy("host", "line").agg(F.count_distinct("unit").alias("docs")).filter(F.col("docs") > max_docs)
     common = materialize(common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line")), "quality-common")
+    each = _distinct_texts(rows).select("host", "text_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     hit = each.join(common, each.host.eqNullSafe(common.common_host) & (each.line == common.common_line))
     return hit.groupBy(F.col("host").alias("hit_host"), F.col("text_id").alias("hit_text")).agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
 
@@ -132,25 +142,29 @@ def _verdict(rows: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     return out.withColumn("base_failed", base_failed).withColumn("n_left", left).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT, copies_once: bool = False) -> DataFrame:
     """(doc_id, host, text_id, the statistics, base_failed, n_left, kept, gone) per row of ``docs``.
 
     ``n_left`` counts the words outside removed lines, ``gone`` has the hashes of these. A null
-    host is a host of its own; null and empty texts have no words and fail the base rules.
-    Repeated rows get equal verdicts and count as one document. An empty table gives an empty table.
+    host is a host of its own; null and empty texts have no words and fail the base rules. Rows
+    of one id are one document, and repeated rows get equal verdicts; rows without an id count
+    once per text. A tie with the limit stays. An empty table gives an empty table.
     """
     rows = materialize(measured(docs), "quality-rows")
-    removed = shared_lines(materialize(_distinct_texts(rows), "quality-texts"), max_docs)
+    removed = shared_lines(rows, max_docs, copies_once)
     return _verdict(rows, removed, min_left).select(F.col("id").alias("doc_id"), "host", "text_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "gone")
 
 
-def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT, copies_once: bool = False) -> DataFrame:
     """The documents that the rules keep, without their removed lines unless ``strip`` is false.
 
-    Columns are those of ``docs``; repeated rows are kept or rejected together.
+    Columns are those of ``docs``, whatever they are called; repeated rows are kept or rejected
+    together. Nulls and ties are as in ``judge``; an empty table gives an empty table.
     """
-    texts = materialize(_distinct_texts(measured(docs)), "quality-texts")
-    verdict = _verdict(texts, shared_lines(texts, max_docs), min_left).filter("kept").select(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text"), "gone")
+    measures = measured(docs)
+    rows = materialize(_distinct_texts(measures) if copies_once else measures, "quality-texts")
+    texts = rows if copies_once else _distinct_texts(rows)
+    verdict = _verdict(texts, shared_lines(rows, max_docs, copies_once), min_left).filter("kept").select(F.col("host").alias("kept_host"), F.col("text_id").alias("kept_text"), "gone")
     rows = docs.select(F.struct("*").alias("doc"), "text", F.col("source").cast("string").alias("host"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
     kept = rows.join(verdict, rows.host.eqNullSafe(verdict.kept_host) & (rows.text_id == verdict.kept_text))
     if strip:
@@ -160,7 +174,7 @@ def quality_filter(docs: DataFrame, strip: bool = True, max_docs: int = MAX_LINE
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the statistics, base_failed, kept, and n_left."""
+    """Per row of ``docs``: doc_id, the statistics, base_failed, kept, and n_left; see ``judge`` for nulls, ties and repeats."""
     return judge(docs).drop("host", "text_id", "gone")
 
 
@@ -177,10 +191,8 @@ b AS (SELECT d.r, doc_id, source, text, len(w)::BIGINT AS n_words, length(array_
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN u ON d.r = u.r LEFT JOIN p ON d.r = p.r),
 k AS (SELECT r, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS key, sum(len(w)) AS words
-      FROM l WHERE len(w) > 0 AND len(w) < 50 GROUP BY r, key),
-s AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
-c AS (SELECT d.source, key, count(DISTINCT text) AS docs FROM k JOIN d USING (r) GROUP BY d.source, key),
-m AS (SELECT c.source, key FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE docs > 20 AND docs > 0.01 * host_docs),
+      FROM l WHERE len(w) > 0 GROUP BY r, key),
+m AS (SELECT d.source, key FROM k JOIN d USING (r) GROUP BY d.source, key HAVING count(DISTINCT coalesce('i' || doc_id, text)) > 20),
 x AS (SELECT k.r, sum(words) AS removed FROM k JOIN d USING (r) JOIN m ON m.source IS NOT DISTINCT FROM d.source AND m.key = k.key GROUP BY k.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left,
        NOT base_failed AND n_left >= 10 AND n_left >= 0.3 * n_words AS kept
