@@ -21,8 +21,8 @@ from . import tokens as tok
 from .common import materialize, scratch_path
 from .files import create, open_at
 
-#: Tokens of a block; documents per file are bounded by FILE_TOKENS.
-BLOCK_TOKENS, FILE_TOKENS = 1 << 20, 1 << 28
+#: Tokens of a block; a file closes when it has so many tokens or documents.
+BLOCK_TOKENS, FILE_TOKENS, FILE_DOCS = 1 << 20, 1 << 28, 1 << 18
 _TYPE = np.dtype("<u2")
 
 
@@ -50,7 +50,7 @@ def _writer(vocabulary, folder: str, file_tokens: int):
                     out.write(found.tobytes())
                     size += len(found)
                     ids.append(doc_id)
-                    if size >= file_tokens:
+                    if size >= file_tokens or len(ids) >= FILE_DOCS:
                         yield close()
                         out = None
         if out is not None:
@@ -128,7 +128,11 @@ def count_tokens(files: DataFrame, separator: int, block_tokens: int = BLOCK_TOK
 
 
 def token_report(docs: DataFrame, vocabulary: str = tok.VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) per document, counted in the token files that its text was written to."""
+    """(doc_id, n_tokens) per row of ``docs``, counted in the token files that its text was written to.
+
+    Null and empty texts have no token; repeated rows, and rows without an id, are documents of
+    their own. An empty table gives an empty table. Other columns are not looked at.
+    """
     manifest = write_token_files(docs, vocabulary)
     separator = tok.load(docs.sparkSession, vocabulary).value.n
     files = materialize(manifest.select("uri", "n_tokens").distinct(), "token-files")

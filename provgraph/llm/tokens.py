@@ -17,7 +17,11 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: The splitting pattern that this family of vocabularies was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CHUNK = 1 << 16
-_SEAM = re.compile(r"(?<=\w)(?= \w)")
+#: Places where the pattern always splits, by whatever Unicode tables: before ASCII white space that follows a word
+#: or a printable ASCII character, and between CJK letters and a full stop or comma.
+_SEAM = re.compile("(?<=[\\w!-~])(?=[ \t\n\r])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002])")
+#: What the pattern finds one after the other; the same for ASCII whatever the tables.
+_PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
 class Tokenizer:
@@ -43,16 +47,32 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         """Tokens of a text; control strings in it are plain text.
 
-        Long texts are encoded in parts that meet between a word and a blank, where the pattern
-        always splits, so that the tokens are the same; only runs of 128 Ki characters without
-        such a place are cut within.
+        Long texts are encoded in parts that meet where the pattern always splits, so the tokens
+        are those of the whole text. Where there is no such place for 128 Ki characters, a run of
+        ASCII is encoded by the pattern's own matches, and any other run up to its next such place.
         """
         if len(text) <= 2 * _CHUNK:
             return self.encoding.encode_ordinary(text)
         out, at = array("l"), 0
         while at < len(text):
-            seam = _SEAM.search(text, at + _CHUNK, at + 2 * _CHUNK)
-            end = seam.start() if seam else at + 2 * _CHUNK
+            if at + 2 * _CHUNK >= len(text):
+                out.extend(self.encoding.encode_ordinary(text[at:]))
+                break
+            if seam := _SEAM.search(text, at + _CHUNK, at + 2 * _CHUNK):
+                out.extend(self.encoding.encode_ordinary(text[at : seam.start()]))
+                at = seam.start()
+                continue
+            until = at + 2 * _CHUNK
+            if text[at : until + 1].isascii():
+                for piece in _PIECES.finditer(text, at, until):
+                    if piece.end() == until:  # may go on beyond
+                        break
+                    out.extend(self.encoding._encode_single_piece(piece[0]))
+                    at = piece.end()
+                if at >= until - _CHUNK:
+                    continue
+            seam = _SEAM.search(text, until)
+            end = seam.start() if seam else len(text)
             out.extend(self.encoding.encode_ordinary(text[at:end]))
             at = end
         return out.tolist()
