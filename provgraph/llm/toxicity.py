@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows of either class that the model is fitted on, taken by hash of the id.
 MAX_TOXIC, MAX_CLEAN = 1500, 4500
-MAX_TERMS = 400
 MIN_TERM_DOCS, MIN_LOG_ODDS, MIN_EVIDENCE = 3, 2.0, 14.0
 STEM_LENGTHS = range(4, 9)
 #: Only whole terms of at least this length are matched with an edit, and only if at most this share
@@ -34,9 +33,12 @@ CONTEXT, QUOTED = 60, 0.25
 FOLDS = 5
 
 _TOKEN = re.compile(r"\w+")
+#: Words with signs in place of letters, such as m@ron, b*d or $cum.
+_MASK = re.compile(r"[@$*!]")
+_MASKED = re.compile(r"[@$]?\w+(?:[@$*!]+\w+)+|[@$]\w+")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 _REPORT = re.compile(r"\b(said|says|wrote|writes|called|calls|quote[ds]?|quoting|dit|écrit|sagte|schrieb|dijo|escribió)\b")
-_LEET = str.maketrans("0134578@$", "oieastbas")
+_LEET = str.maketrans("0134578@$!", "oieastbasi")
 _CACHE = 400_000
 
 
@@ -140,17 +142,41 @@ class Lexicon:
         self.seen[word] = found
         return found
 
-
-def is_quoted(text: str, start: int, end: int) -> bool:
-    """Whether the hit lies between an opening and a closing quote, or after a word of reporting with one."""
-    before, after = text[max(0, start - CONTEXT) : start].rpartition("\n")[2], text[end : end + CONTEXT].partition("\n")[0]
-    opened = max((before.rfind(q) for q in _OPEN), default=-1)
-    if opened < 0 or not any(q in after for q in _CLOSE):
-        return False
-    inside = before[opened + 1 :]
-    if any(q in inside for q in "”»") or (before[opened] == '"' and text[: max(0, start - len(inside) - 1)].rpartition("\n")[2].count('"') % 2):
-        return bool(_REPORT.search(before))
-    return True
+    def match_masked(self, word: str) -> tuple[float, int, str] | None:
+        """The best term for a word with signs in place of letters: read as letters, or the stars as one wrong letter."""
+        plain = word.translate(_LEET)
+        found = self.match(plain) if plain.isalpha() else None
+        if found is None and "*" in word:
+            at = self.match(plain)
+            found = at if at and at[2] else None
+        return found and (found[0], max(1, found[1]), found[2])
+
+
+class Quotes:
+    """Tells which places of a text are quoted; double quotes and line ends are looked up once for all hits."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.marks: np.ndarray | None = None
+
+    def _odd_before(self, at: int) -> bool:
+        """Whether the line of ``at`` has an odd number of straight double quotes before it."""
+        if self.marks is None:
+            self.marks = np.array([m.start() for m in re.finditer('"', self.text)], np.int64)
+        line = self.text.rfind("\n", 0, at) + 1
+        return bool((np.searchsorted(self.marks, at) - np.searchsorted(self.marks, line)) % 2)
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether a hit lies between an opening and a closing quote, or after a word of reporting with one."""
+        text = self.text
+        before, after = text[max(0, start - CONTEXT) : start].rpartition("\n")[2], text[end : end + CONTEXT].partition("\n")[0]
+        opened = max((before.rfind(q) for q in _OPEN), default=-1)
+        if opened < 0 or not any(q in after for q in _CLOSE):
+            return False
+        inside = before[opened + 1 :]
+        if any(q in inside for q in "”»") or (before[opened] == '"' and self._odd_before(max(0, start - len(inside) - 1))):
+            return bool(_REPORT.search(before))
+        return True
 
 
 N_FEATURES = 6
@@ -165,25 +191,32 @@ def features(lexicon: Lexicon, text: str | None) -> np.ndarray:
     low = (text or "").lower()
     tokens = _TOKEN.findall(low)
     hits = {w: m for w in set(tokens) if (m := lexicon.match(w))}
-    if not hits:
+    masked = {w: m for w in set(_MASKED.findall(low)) if (m := lexicon.match_masked(w))} if _MASK.search(low) else {}
+    if not hits and not masked:
         return out
     count = strength = 0.0
     best: dict[str, float] = {}
-    for found in _TOKEN.finditer(low):
-        m = hits.get(word := found.group())
-        if m is None:
+    quotes = Quotes(low)
+    for pattern, known in ((_TOKEN, hits), (_MASKED, masked)):
+        if not known:
             continue
-        share = (QUOTED if is_quoted(low, found.start(), found.end()) else 1.0) * (MISSPELLED if m[1] else 1.0)
-        count += share
-        strength += share * m[0]
-        best[word] = max(best.get(word, 0.0), share * m[0])
+        for found in pattern.finditer(low):
+            m = known.get(word := found.group())
+            if m is None:
+                continue
+            share = (QUOTED if quotes.around(found.start(), found.end()) else 1.0) * (MISSPELLED if m[1] else 1.0)
+            count += share
+            strength += share * m[0]
+            best[word] = max(best.get(word, 0.0), share * m[0])
     values = list(best.values())
     out[:] = [math.log1p(count), math.log1p(strength), math.log1p(sum(values)), max(values) / 4, sum(values) / len(values) / 4, math.log1p(100 * count / len(tokens))]
     return out
 
 
 def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
-    """Terms by document frequency: at least 3 toxic texts, log odds of 2, and a G statistic of 14."""
+    """Terms by document frequency: at least 3 toxic texts, log odds of 2, and a G statistic of 14. Copies count once."""
+    once = dict.fromkeys(zip(texts, labels.tolist(), strict=True))
+    texts, labels = [t for t, _ in once], np.array([y for _, y in once])
 
     def terms(text: str) -> set[str]:
         words = {w for w in _TOKEN.findall(text.lower()) if len(w) >= 3 and not w.isdigit()}
@@ -198,7 +231,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
         if not y:
             clean.update(terms(text) & toxic.keys())
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    found = []
+    found = []  # no bound of their number: the sample bounds it
     for t, a in toxic.items():
         b = clean[t]
         odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
@@ -207,8 +240,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
         if odds >= MIN_LOG_ODDS and g >= MIN_EVIDENCE:
             found.append((g, t, odds))
     found.sort(key=lambda x: (-x[0], x[1]))
-    best = found[:MAX_TERMS]
-    lexicon = Lexicon({t: w for _, t, w in best if t[-1] != "*"}, {t[:-1]: w for _, t, w in best if t[-1] == "*"})
+    lexicon = Lexicon({t: w for _, t, w in found if t[-1] != "*"}, {t[:-1]: w for _, t, w in found if t[-1] == "*"})
     near = Counter()
     for text, y in zip(texts, labels, strict=True):
         if not y:
@@ -276,13 +308,14 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     Only their ids (chosen by hash among the labels) are broadcast, and only their texts reach
     the driver. Labels that are null or without a document are left out; of several labels of an
-    id the highest counts.
+    id the highest counts, and of several texts the least. The number of terms has no bound but
+    the sample.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("y"))
     by_hash = [F.xxhash64("label_id"), F.col("label_id")]
     chosen = known.filter("y = 1").orderBy(*by_hash).limit(max_toxic).unionByName(known.filter("y = 0").orderBy(*by_hash).limit(max_clean))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     sample = rows.toPandas().sort_values("label_id")
     return fit([t or "" for t in sample["text"]], sample["y"].astype(int))
 
@@ -302,8 +335,9 @@ def scored(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted.
+    """Per row of ``docs``: doc_id, held_out, score, predicted.
 
+    Other columns are not looked at, whatever they are called; an empty table gives an empty table.
     Null and empty texts get the score of a text without a hit. Without labels of both classes
     every score is the (smoothed) share of toxic ones. Repeated rows get equal scores.
     """
