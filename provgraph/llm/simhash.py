@@ -1,11 +1,13 @@
 """SimHash near-duplicate detection by pigeonhole blocks.
 
-A fingerprint is split into ``distance + 2`` blocks; two fingerprints at most ``distance`` bits
-apart agree in two blocks at least, so every close pair meets under one of the keys made of two
-blocks. Fingerprints, not documents, are joined: copies collapse first. Under a key the rows are
+A fingerprint is split into ``n`` blocks, at least ``distance + 2``; two fingerprints at most
+``distance`` bits apart agree in ``n - distance`` blocks at least, so every close pair meets under
+one of the keys made of that many. The more fingerprints, the more blocks, and so the wider the
+keys: a key has about 64 * (n - distance) / n bits, and a run of equal keys stays short.
+Fingerprints, not documents, are joined: copies collapse first. Under a key the rows are
 compared in sorted runs; a long run is cut into tiles that are compared pair by pair of tiles, so
 no task holds a whole hot run, and a run yields a spanning forest of its links, never all pairs.
-Components come from rounds of contracting links, each a few shuffles over what is left of them.
+Components come from the library's rounds of contracting links.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import contract
 from .common import materialize
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -68,25 +71,32 @@ def fingerprints(docs: DataFrame, *keep: Column, shingle: int = SHINGLE) -> Data
     return out.mapInArrow(run, schema)
 
 
-def _block_masks(distance: int) -> list[int]:
-    """Bit masks of every two of ``distance + 2`` blocks of 64 bits."""
+def n_blocks(fingerprints: int, distance: int) -> int:
+    """The fewest blocks whose keys are so wide that unrelated fingerprints fill runs of four on average at most."""
     n = distance + 2
+    while n < 2 * distance + 2 and fingerprints > 4 << (64 * (n - distance) // n):
+        n += 1
+    return n
+
+
+def _block_masks(distance: int, n: int) -> list[int]:
+    """Bit masks of every ``n - distance`` of ``n`` blocks of 64 bits."""
     edges = [round(64 * i / n) for i in range(n + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(blocks, 2)]
+    return [sum(some) for some in combinations(blocks, n - distance)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Distinct (a, b) of fingerprints at most ``distance`` bits apart that connect what is connected.
 
     ``fps`` has distinct ``fp``. Short runs yield all their links; a tile pair of a long run
-    yields a spanning forest of them.
+    yields a spanning forest of them. ``blocks`` changes the plan, not the result.
     """
-    masks = [_signed(m) for m in _block_masks(distance)]
+    masks = [_signed(m) for m in _block_masks(distance, blocks or n_blocks(fps.count(), distance))]
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "key")
     keyed = fps.select("fp", keys)
     counts = keyed.groupBy("block", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -158,33 +168,9 @@ def _forest(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): one root per connected component.
-
-    Each round, every node moves to the neighbour (or itself) with the least hash of that round;
-    links between nodes that moved apart go on, until none is left. Hashes differ from round to
-    round, so a long chain shrinks by a constant factor each time.
-    """
-    edges = materialize(edges.select("a", "b").filter("a <> b"), "component-links")
-    nodes = None
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
-
-        def rank(c: str) -> Column:
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("node"))  # noqa: B023
-
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(rank("b")).alias("least"))
-        parent = materialize(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("root")), "component-parents")
-        if nodes is None:
-            nodes = parent
-        else:
-            step = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            nodes = materialize(nodes.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "component-nodes")
-        ends = [parent.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-        moved = edges.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
-        edges = materialize(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "component-links")
-    return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    """(node, root) of every node of ``edges`` (a, b): one root per connected component."""
+    member = contract(edges)
+    return member if member is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
 def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -201,7 +187,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows keep
     their place. A null id never names a component unless all ids of the component are null.
-    An empty table gives an empty table.
+    An empty table gives an empty table; other columns are not looked at.
     """
     rows = materialize(fingerprints(docs, F.col("doc_id"), shingle=shingle), "simhash-rows")
     return rows.join(classes(rows.select(F.col("doc_id").alias("id"), "fp"), distance), "fp").select("doc_id", "fp", "component_id")
@@ -210,7 +196,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id, null ids last.
 
-    Of rows that share this id, the one with the least MD5 of id and text stays, once.
+    Of rows that share this id, the one with the least MD5 of id and text stays, once; of rows
+    equal in both, the one with the least MD5 of all its columns. Columns are those of ``docs``,
+    whatever they are called. An empty table gives an empty table.
     """
     keyed = row_keyed(docs)
     rows = materialize(fingerprints(keyed, F.col("id"), F.col("row"), shingle=shingle), "simhash-rows")
@@ -224,12 +212,18 @@ def row_keyed(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of ``keyed`` whose ``row`` comes first in a root of ``found`` (id, row, root)."""
-    kept = found.groupBy("root").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("row"))
-    once = keyed.select("row", "doc").join(kept.select("row").distinct(), "row", "left_semi")
-    return once.groupBy("row").agg(F.first("doc").alias("doc")).select("doc.*")
+    """The documents of ``keyed`` whose ``row`` comes first in a root of ``found`` (id, row, root).
+
+    The documents are shuffled once; only rows that are repeated are grouped as well.
+    """
+    first = found.groupBy("root", "row").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    kept = first.groupBy("root").agg(F.min_by(F.struct("row", "n"), F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("x"))
+    kept = materialize(kept.groupBy("x.row").agg(F.max("x.n").alias("n")), "one-of-each")
+    once = keyed.select("row", "doc").join(kept.withColumnRenamed("row", "kept_row"), F.col("row") == F.col("kept_row")).select("row", "doc", "n")
+    repeated = once.filter("n > 1").groupBy("row").agg(F.min_by("doc", F.md5(F.to_json("doc"))).alias("doc"))
+    return once.filter("n = 1").select("doc.*").union(repeated.select("doc.*"))
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id."""
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id; see ``near_duplicates`` for odd rows."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
