@@ -5,8 +5,8 @@ are neighbours; a range partition on these hashes and the id spreads even a firs
 third of them share. Each task streams its neighbours into packs. A pack is a tree in depth-first
 order: a turn shared by several conversations is in it once, its position ids continue those of
 its parent, and its tokens attend to themselves (causally) and to the intervals of its ancestors.
-A pack is closed when the next conversation would exceed its size, and only then is a shared
-prefix repeated: once per pack.
+A pack is closed when the next conversation would exceed its size, or where a partition ends, and
+only then is a shared prefix repeated: once per pack.
 
 Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings within a text cannot
 be mistaken: every ``<``, backslashes, ``|`` gets one more backslash, which reading takes away.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,89 +55,113 @@ def format_turn(role: str, text: str) -> str:
 
 
 class Pack:
-    """A tree of turns under construction; rows in ``nodes``: start, end, parent, position, loss interval."""
+    """A tree of turns under construction; a node has a start, end, parent, position and loss interval."""
 
     def __init__(self):
-        self.tokens: list[int] = []
-        self.positions: list[int] = []
-        self.nodes: list[dict] = []
-        self.path: list[tuple[str, str, int]] = []
+        self.tokens = array("i")
+        self.nodes: list[tuple[int, int, int, int, int, int]] = []
+        self.attends: list[list[tuple[int, int]]] = []
+        self.path: list[tuple[str, str]] = []
+        self.at: list[int] = []
         self.members: list[tuple[int | None, int]] = []
 
     def shared(self, turns: list[tuple[str, str]]) -> int:
+        """How many of the first ``turns`` are those of the conversation before."""
         n = 0
-        while n < min(len(turns), len(self.path)) and self.path[n][:2] == turns[n]:
+        while n < min(len(turns), len(self.path)) and self.path[n] == turns[n]:
             n += 1
         return n
 
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]], encoded: list[tuple[list[int], int, int]], shared: int) -> None:
-        """``encoded``: tokens of the turns from ``shared`` on, with the interval of the text in them."""
-        del self.path[shared:]
+    def encoded(self, depth: int) -> tuple[array, int, int]:
+        """The turn at ``depth`` of the conversation before, as ``add`` takes it."""
+        start, end, _, _, a, b = self.nodes[self.at[depth]]
+        return self.tokens[start:end], a - start, b - start
+
+    def add(self, conv_id: int | None, turns: list[tuple[str, str]], encoded: list[tuple[array, int, int]], shared: int) -> None:
+        """``encoded``: tokens of the turns from ``shared`` on, with the interval of the text under loss in them."""
+        del self.path[shared:], self.at[shared:]
         for turn, (tokens, a, b) in zip(turns[shared:], encoded, strict=True):
-            parent = self.path[-1][2] if self.path else -1
-            above = self.nodes[parent] if self.path else {"position": 0, "start": 0, "end": 0, "attends": []}
-            start, position = len(self.tokens), above["position"] + above["end"] - above["start"]
-            attends = [*above["attends"]]
-            if self.path:
-                if attends and attends[-1]["to"] == above["start"]:
-                    attends[-1] = {"from": attends[-1]["from"], "to": above["end"]}
+            parent, position, attends = -1, 0, []
+            if self.at:
+                parent = self.at[-1]
+                from_, to, _, position, _, _ = self.nodes[parent]
+                position += to - from_
+                attends = [*self.attends[parent]]
+                if attends and attends[-1][1] == from_:
+                    attends[-1] = (attends[-1][0], to)
                 else:
-                    attends.append({"from": above["start"], "to": above["end"]})
+                    attends.append((from_, to))
+            start = len(self.tokens)
             self.tokens += tokens
-            self.positions += range(position, position + len(tokens))
-            loss = turn[0] == "assistant"
-            self.nodes.append({"start": start, "end": start + len(tokens), "parent": parent, "position": position, "loss_from": start + a if loss else start, "loss_to": start + b if loss else start, "attends": attends})
-            self.path.append((*turn, len(self.nodes) - 1))
-        self.members.append((conv_id, self.path[-1][2] if self.path else -1))
+            self.nodes.append((start, len(self.tokens), parent, position, start + a, start + b))
+            self.attends.append(attends)
+            self.path.append(turn)
+            self.at.append(len(self.nodes) - 1)
+        self.members.append((conv_id, self.at[-1] if self.at else -1))
+
+    def row(self) -> pa.RecordBatch:
+        nodes = np.array(self.nodes, np.int32).reshape(-1, 6)
+        positions = np.arange(len(self.tokens), dtype=np.int32) + np.repeat(nodes[:, 3] - nodes[:, 0], nodes[:, 1] - nodes[:, 0])
+        spans = np.array([x for each in self.attends for x in each], np.int32).reshape(-1, 2)
+        ends = np.cumsum([0, *map(len, self.attends)]).astype(np.int32)
+        attends = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["from", "to"]))
+        members = pa.StructArray.from_arrays([pa.array([c for c, _ in self.members], pa.int64()), pa.array([n for _, n in self.members], pa.int32())], ["conv_id", "node"])
+        fields = ["start", "end", "parent", "position", "loss_from", "loss_to", "attends"]
+        columns = [pa.array(np.frombuffer(self.tokens, np.int32)), pa.array(positions), pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in nodes.T), attends], fields), members]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["tokens", "position_ids", "nodes", "members"])
+
+
+PACK_SCHEMA = "tokens array<int>, position_ids array<int>, nodes array<struct<start: int, end: int, parent: int, position: int, loss_from: int, loss_to: int, attends: array<struct<from: int, to: int>>>>, members array<struct<conv_id: long, node: int>>"
+
 
+def _turn_encoder(tokenizer: tok.Tokenizer):
+    """A function (role, text) -> tokens of the turn and the interval of its text under loss; roles are encoded once."""
+    tail = array("i", [tokenizer.n + 1, *tokenizer.encode("\n")])
 
-_INTERVAL = "struct<from: int, to: int>"
-PACK_SCHEMA = f"tokens array<int>, position_ids array<int>, nodes array<struct<start: int, end: int, parent: int, position: int, loss_from: int, loss_to: int, attends: array<{_INTERVAL}>>>, members array<struct<conv_id: long, node: int>>"
-_ARROW_INTERVAL = pa.struct([("from", pa.int32()), ("to", pa.int32())])
-_ARROW_NODE = pa.struct([(c, pa.int32()) for c in ("start", "end", "parent", "position", "loss_from", "loss_to")] + [("attends", pa.list_(_ARROW_INTERVAL))])
+    @lru_cache(maxsize=1024)
+    def head(role: str) -> array:
+        return array("i", [tokenizer.n, *tokenizer.encode(escape_role(role) + "\n")])
 
+    def encode(role: str, text: str) -> tuple[array, int, int]:
+        tokens = array("i", head(role))
+        start = len(tokens)
+        tokens.extend(tokenizer.encode(escape(text)))
+        end = len(tokens)
+        tokens += tail
+        return (tokens, start, end) if role == "assistant" else (tokens, 0, 0)
 
-def _encode_turn(tokenizer: tok.Tokenizer, role: str, text: str) -> tuple[list[int], int, int]:
-    head = [tokenizer.n, *tokenizer.encode(escape_role(role) + "\n")]
-    body = tokenizer.encode(escape(text))
-    return [*head, *body, tokenizer.n + 1, *tokenizer.encode("\n")], len(head), len(head) + len(body)
+    return encode
 
 
 def _packer(vocabulary, max_tokens: int, max_members: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pack = vocabulary.value, Pack()
+        encode, pack = _turn_encoder(vocabulary.value), Pack()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 for conv_id, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     turns = [(t["role"] or "", t["text"] or "") for t in raw]
                     shared = pack.shared(turns)
-                    encoded = [_encode_turn(tokenizer, *t) for t in turns[shared:]]
+                    encoded = [encode(*t) for t in turns[shared:]]
                     full = len(pack.tokens) + sum(len(t) for t, _, _ in encoded) > max_tokens or len(pack.members) >= max_members
                     if full and pack.members:
-                        yield _pack_row(pack)
-                        pack = Pack()
-                        encoded = [*(_encode_turn(tokenizer, *t) for t in turns[:shared]), *encoded]
-                        shared = 0
+                        yield pack.row()
+                        encoded = [*(pack.encoded(d) for d in range(shared)), *encoded]
+                        pack, shared = Pack(), 0
                     pack.add(conv_id, turns, encoded, shared)
         if pack.members:
-            yield _pack_row(pack)
+            yield pack.row()
 
     return run
 
 
-def _pack_row(pack: Pack) -> pa.RecordBatch:
-    ints = pa.list_(pa.int32())
-    members = pa.array([[{"conv_id": c, "node": n} for c, n in pack.members]], pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))
-    return pa.RecordBatch.from_arrays([pa.array([pack.tokens], ints), pa.array([pack.positions], ints), pa.array([pack.nodes], pa.list_(_ARROW_NODE)), members], ["tokens", "position_ids", "nodes", "members"])
-
-
 def format_conversations(rows: DataFrame, vocabulary: str = tok.VOCABULARY, max_tokens: int = PACK_TOKENS, max_members: int = PACK_MEMBERS) -> DataFrame:
     """Packs of the conversations in ``rows`` (conv_id, turn, role, text); see PACK_SCHEMA.
 
     Turns go by (turn, role, text), nulls first; repeated rows are turns of their own. Null roles
     and texts are empty. Rows without a conv_id form one conversation. An empty table gives no
-    pack. A node's ``attends`` are the intervals of its ancestors, merged where they touch.
+    pack. Other columns are not looked at. A node's ``attends`` are the intervals of its
+    ancestors, merged where they touch. Ties between conversations go by id.
     """
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -146,48 +172,87 @@ def format_conversations(rows: DataFrame, vocabulary: str = tok.VOCABULARY, max_
     return ordered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).mapInArrow(_packer(tok.load(spark, vocabulary), max_tokens, max_members), PACK_SCHEMA)
 
 
-def read_member(tokenizer: tok.Tokenizer, tokens: np.ndarray, positions: np.ndarray, loss: np.ndarray, node: dict | None) -> tuple[list[tuple[str, str]], str, int]:
-    """(turns, text under the loss mask, formatted code points) of the conversation that ends in ``node``."""
-    if node is None:
-        return [], "", 0
-    spans = [*((s["from"], s["to"]) for s in node["attends"]), (node["start"], node["end"])]
-    own, where, masked = (np.concatenate([x[a:b] for a, b in spans]) for x in (tokens, positions, loss))
-    if not np.array_equal(where, np.arange(len(own))):
-        raise ValueError("the position ids of a conversation do not count up from 0")
-    turns, under, formatted = [], [], 0
-    starts = np.flatnonzero(own == tokenizer.n)
-    for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
-        stop = a + int(np.flatnonzero(own[a:b] == tokenizer.n + 1)[0])
-        role, _, text = tokenizer.decode(own[a + 1 : stop].tolist()).decode().partition("\n")
-        tail = tokenizer.decode(own[stop + 1 : b].tolist()).decode()
-        turns.append((unescape_role(role), unescape(text)))
-        formatted += len(START) + len(role) + 1 + len(text) + len(END) + len(tail)
-        under.append(unescape(tokenizer.decode(own[a:b][masked[a:b]].tolist()).decode()))
-    return turns, "".join(under), formatted
+class PackReader:
+    """Reads conversations back from a pack: from its tokens, position ids, attention intervals and loss intervals."""
+
+    def __init__(self, tokenizer: tok.Tokenizer, pack: pa.RecordBatch):
+        self.tokenizer = tokenizer
+        self.tokens, self.positions, nodes, self.members = (pack.column(c).flatten() for c in range(4))
+        self.tokens, self.positions = self.tokens.to_numpy(), self.positions.to_numpy()
+        self.start, self.end, self.loss_from, self.loss_to = (nodes.field(c).to_numpy() for c in ("start", "end", "loss_from", "loss_to"))
+        attends = nodes.field("attends")
+        self.span_ends = attends.offsets.to_numpy()
+        self.spans = np.column_stack([attends.values.field(c).to_numpy() for c in ("from", "to")])
+        self.turns: dict[int, tuple[str, str, str, int, int]] = {}
+
+    def _text(self, a: int, b: int) -> str:
+        return self.tokenizer.decode(self.tokens[a:b].tolist()).decode()
+
+    def _turn(self, k: int) -> tuple[str, str, str, int, int]:
+        """(role, text, text under the loss mask, formatted code points, first position) of a node."""
+        if k not in self.turns:
+            a, b = int(self.start[k]), int(self.end[k])
+            where = self.positions[a:b]
+            if not np.array_equal(where, np.arange(where[0], where[0] + b - a)):
+                raise ValueError("the position ids of a turn do not count up")
+            stop = a + int(np.flatnonzero(self.tokens[a:b] == self.tokenizer.n + 1)[0])
+            if self.tokens[a] != self.tokenizer.n:
+                raise ValueError("a turn does not start with its control token")
+            low, high = int(self.loss_from[k]), int(self.loss_to[k])
+            under = self._text(low, high) if high > low else ""
+            if high > low and high == stop:  # the usual case: the loss mask ends where the text does
+                role, text = self._text(a + 1, low).partition("\n")[::2]
+                text += under
+            else:
+                role, _, text = self._text(a + 1, stop).partition("\n")
+            size = len(START) + len(role) + 1 + len(text) + len(END) + len(self._text(stop + 1, b))
+            plain = unescape(text)
+            self.turns[k] = unescape_role(role), plain, plain if under == text else unescape(under), size, int(where[0])
+        return self.turns[k]
+
+    def conversation(self, node: int) -> tuple[list[tuple[str, str]], str, int]:
+        """(turns, text under the loss mask, formatted code points) of what ends in ``node``: its ancestors and itself."""
+        if node < 0:
+            return [], "", 0
+        turns, under, formatted, position = [], [], 0, 0
+        own = (self.start[node], self.end[node])
+        for a, b in [*self.spans[self.span_ends[node] : self.span_ends[node + 1]].tolist(), own]:
+            first, last = np.searchsorted(self.start, (a, b))
+            if self.start[first] != a or self.end[last - 1] != b:
+                raise ValueError("an attention interval is not made of whole turns")
+            for k in range(first, last):
+                role, text, masked, size, at = self._turn(k)
+                if at != position:
+                    raise ValueError("the position ids of a conversation do not count up from 0")
+                turns.append((role, text))
+                under.append(masked)
+                formatted += size
+                position += int(self.end[k] - self.start[k])
+        return turns, "".join(under), formatted
 
 
 def conversation_report(packs: DataFrame, vocabulary: str = tok.VOCABULARY) -> DataFrame:
-    """Per conversation, read back from its pack: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from its pack: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A conversation without rows is in no pack; one whose texts are null or empty has empty turns.
+    """
     shared = tok.load(packs.sparkSession, vocabulary)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                pack = batch.slice(k, 1).to_pylist()[0]
-                tokens, positions = np.array(pack["tokens"], np.int64), np.array(pack["position_ids"], np.int64)
-                loss = np.zeros(len(tokens), bool)
-                for node in pack["nodes"]:
-                    loss[node["loss_from"] : node["loss_to"]] = True
+                reader = PackReader(tokenizer, batch.slice(k, 1))
                 rows, last, made = [], None, None
-                for m in pack["members"]:
-                    if m["node"] != last or made is None:
-                        turns, under, formatted = read_member(tokenizer, tokens, positions, loss, pack["nodes"][m["node"]] if m["node"] >= 0 else None)
+                for conv_id, node in zip(reader.members.field("conv_id").to_pylist(), reader.members.field("node").to_pylist(), strict=True):
+                    if node != last or made is None:
+                        turns, under, formatted = reader.conversation(node)
                         sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                        last, made = m["node"], (len(turns), sha, len(under), hashlib.sha256(under.encode()).hexdigest(), formatted)
-                    rows.append((m["conv_id"], *made))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names)
+                        last, made = node, (len(turns), sha, len(under), hashlib.sha256(under.encode()).hexdigest(), formatted)
+                    rows.append((conv_id, *made))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return packs.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
