@@ -64,14 +64,15 @@ def mix_plan(ledger: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     """
     sizes = ledger.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, share, max_repeat)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = materialize(plan.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    # a source at its cap has nothing left to share out: a budget of 0 takes no row once more, not even one without words
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_repeat), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
+    plan = materialize(plan.withColumn("whole", whole).withColumn("budget", F.when(F.col("whole") < max_repeat, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)), "mix-targets")
 
     state = plan.select("source", "budget", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         state = materialize(_refine(ledger, state, shift), "mix-boundary")
     # the last bucket is one hash: take it if that comes nearer to the budget
-    take = F.lit(2) * (F.col("budget") - F.col("below")) >= F.col("inside")
+    take = (F.col("budget") > 0) & (F.lit(2) * (F.col("budget") - F.col("below")) >= F.col("inside"))
     edge = state.select(F.col("source").alias("s"), F.when(take, F.col("bucket")).otherwise(F.col("bucket") - 1).alias("threshold"))
     return plan.join(edge, plan.source.eqNullSafe(edge.s), "left").select(plan.source, "source_size", "weight", "target", "whole", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
 
@@ -118,7 +119,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """Per document: size, its source's size and target, and the words that the mix takes of it."""
+    """Per row of ``docs``: doc_id, size, its source's size and target, and the words that the mix takes of it.
+
+    Null text has size 0; a null source is a source of its own, last in order. Rows equal in id
+    and text are taken alike. An empty table gives an empty table; other columns are not looked at.
+    """
     ledger = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-ledger")
     plan = materialize(mix_plan(ledger), "mix-plan").withColumnRenamed("source", "s")
     taken = F.col("size") * (F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("long"))
