@@ -52,6 +52,23 @@ def test_stage_on_whole_table(spark, sf):
     assert sorted(r.doc_id for r in jaccard.drop_similar(docs).collect()) == plain_kept(rows)
 
 
+def test_recall_on_planted_near_copies(spark):
+    """Pairs between 0.8 and 0.95 of many lengths; of 200 all are found, and none of 100 pairs below 0.8."""
+    rng = np.random.default_rng(11)
+    rows, near = [], set()
+    while len(rows) < 600:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(30, 600)))]
+        a, b = len(rows), len(rows) + 1
+        other = edited(words, max(1, int(len(words) * rng.uniform(0.004, 0.05))), rng)
+        x, y = plain_set(" ".join(words)), plain_set(other)
+        close = 5 * len(x & y) >= 4 * len(x | y)
+        if close and len(near) < 200 or not close and len(rows) // 2 - len(near) < 100:
+            rows += [(a, " ".join(words)), (b, other)]
+            near |= {b} if close else set()
+    kept = {r.doc_id for r in jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - near and len(near) == 200
+
+
 @pytest.mark.parametrize("tile", [7, 1024])
 def test_links_of_a_crowd(spark, tile):
     """A chain of edits in one long run: ends are far apart, neighbours are near."""
@@ -61,7 +78,7 @@ def test_links_of_a_crowd(spark, tile):
     for k in range(40):
         words[7 * k % 300] = f"c{k}"
         rows.append((k, " ".join(words)))
-    texts = spark.createDataFrame(rows, "fp long, text string")
-    keyed = texts.select("fp", F.lit(0).alias("band"), F.lit(0).cast("long").alias("key"))
-    member = simhash.components(jaccard.links(texts, keyed, tile=tile)).toPandas()
+    texts = spark.createDataFrame(rows, "fp long, text string").withColumn("row", F.col("fp").cast("string"))
+    own = texts.select("fp", "row", F.array(F.lit(0).cast("long")).alias("keys"))
+    member = simhash.components(jaccard.links(texts.select("row", "text"), own, tile=tile)).toPandas()
     assert len(member) == 40 and member.root.nunique() == 1

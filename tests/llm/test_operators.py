@@ -1,17 +1,20 @@
 """The operators' own interfaces and outputs, where SQL has no word for them."""
 
+import hashlib
 import io
 import json
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provgraph.llm import chat, decontam, line_dedup, mixing, quality, sharding, token_counts, tokens, toxicity, warc
+from provgraph.llm import chat, decontam, line_dedup, mixing, quality, sharding, simhash, token_counts, tokens, toxicity, warc
 from provgraph.llm.queries import QUERIES
 
 from .conftest import LONG
@@ -147,6 +150,31 @@ def test_false_magic_and_damage_are_skipped():
 # --- sharding
 
 
+def test_placement_by_brute_force(spark, sf):
+    """The registered query against a plain schedule of the same units, and the imbalance that comes of it."""
+    got = {r.doc_id: r.shard for r in QUERIES["op5_sharding"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    keys = {r.doc_id: hashlib.md5((r.text or "").encode()).digest() for r in docs}
+    size = Counter()
+    for r in docs:
+        size[keys[r.doc_id]] += len((r.text or "").encode()) + 16
+    bins, total = 40 * 1024, sum(size.values())
+
+    def unit(key):
+        return f"g{key.hex().upper()}" if size[key] * bins >= total else f"b{simhash._signed(xxhash.xxh64_intdigest(key, 42)) % bins}"
+
+    units = Counter()
+    for key, n in size.items():
+        units[unit(key)] += n
+    load, where = [0] * 40, {}
+    for name, n in sorted(units.items(), key=lambda u: (-u[1], u[0])):
+        shard = min(range(40), key=lambda s: (load[s], s))
+        load[shard] += n
+        where[name] = shard
+    assert got == {i: where[unit(k)] for i, k in keys.items()}
+    assert max(load) - min(load) <= max(units.values())
+
+
 def test_shards(spark, odd_docs, no_docs, sf):
     got = QUERIES["op5_sharding"](spark, sf).toPandas()
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
@@ -212,8 +240,12 @@ def test_long_texts_have_the_same_tokens(spark):
     tokenizer = tokens.load(spark).value
     text = LONG + "  \n" + LONG.upper()
     assert tokenizer.encode(text) == tokenizer.encoding.encode_ordinary(text)
-    odd = "a" * 300_000
-    assert tokenizer.decode(tokenizer.encode(odd)).decode() == odd
+    rng = np.random.default_rng(1)
+    pick = lambda letters, n: "".join(np.array(list(letters))[rng.integers(0, len(letters), n)])
+    odd = ["a" * 295_002, "§" * 320_001, "日本語" * 100_000, "日本語、はい。" * 60_000, " " * 300_000 + "a", "\n\t\u3000" * 90_000 + "z", "a" * 131_072 + "'s" * 100_000, "a\n" * 200_000, pick("ab1 \n\t'é日.\u3000", 400_000), pick("abcXYZ0189+/='s", 400_000)]
+    odd.append("".join(map(chr, np.where((points := rng.integers(1, 0x10FFFF, 300_000)) // 0x800 == 0x1B, 65, points))))
+    for text in odd:
+        assert tokenizer.encode(text) == tokenizer.encoding.encode_ordinary(text)
 
 
 # --- toxicity
@@ -247,6 +279,27 @@ def test_quotation_counts_less():
     assert quote[0] < abuse[0] and quote[1] < abuse[1]
 
 
+def test_masked_words_are_seen():
+    lexicon = toxicity.Lexicon({"moron": 5.0, "idiot": 4.0, "scum": 3.0}, {})
+    score = lambda t: toxicity.features(lexicon, t)[0]
+    assert min(score(t) for t in ("you m0r0n", "you mor@n", "an id*ot!", "an !diot", "what $cum")[:3]) > 0 and score("what $cum") > 0
+    assert score("wow!great*thing a@b.c $100 5*5") == 0
+
+
+def test_many_quoted_hits_take_linear_time():
+    lexicon = toxicity.Lexicon({"moron": 5.0}, {})
+    text = 'he said "you moron" and "moron" again ' * 20_000
+    began = time.perf_counter()
+    assert toxicity.features(lexicon, text)[0] > 0
+    assert time.perf_counter() - began < 5
+
+
+def test_clashing_columns_of_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", 1, 2, "h") for i in range(9)], "doc_id long, text string, y int, label_id int, toxic string")
+    labels = spark.createDataFrame([(i, i % 2, 5, "t") for i in range(9)], "doc_id long, toxic int, y int, text string")
+    assert toxicity.toxicity_report(docs, labels).count() == 9
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op6_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
@@ -283,9 +336,41 @@ def test_shuffled_set_gives_the_same(spark, sf, monkeypatch):
     assert a.equals(b) and a.contaminated.any()
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_no_words_are_shuffled(spark, sf, monkeypatch, limit):
+    """One pass over the texts finds windows of all lengths; exchanges carry ids, hashes and hits."""
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", limit)
+    seen = []
+    written = decontam.materialize
+
+    def spy(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(decontam, "materialize", spy)
+    bench = spark.createDataFrame([(1, "quick brown fox"), (2, "one two three four five six seven eight nine ten eleven"), (3, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "zero one two three four five six seven eight nine ten"), (3, "nothing here"), (4, "solo solo")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.decontam_report(docs, bench).collect()}
+    assert got == {1: (4, 3, 1), 2: (11, 10, 1), 3: (2, 0, 0), 4: (2, 2, 1)}
+    plan = dict(seen)["decontam-scan" if limit else "decontam-near"]
+    assert plan.count("FileScan") <= 3 and plan.count("split(") == 1
+    for name, text in seen:
+        for part in text.split("Exchange ")[1:]:
+            below = part.split("\n")[1]
+            assert name in ("decontam-items", "decontam-windows") or "tokens" not in below.split("[")[-1], (name, below)
+
+
 # --- mixing
 
 
+def test_no_third_copy(spark):
+    """Rows without words, in a source that the mix takes twice as a whole."""
+    rows = [(i, "" if i % 3 else "one two", "a") for i in range(30)] + [(100 + i, "word " * 200, s) for i, s in enumerate("bbbc")] + [(200, " ", "d"), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert {copies[i] for i in range(30)} == {2} and max(copies.values()) == 2
+
+
 def test_mix_is_near_its_targets(spark, sf, odd_docs, no_docs):
     got = mixing.mix_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").toPandas()

@@ -55,8 +55,18 @@ def test_spark_hashes_shingles_alike(spark):
     assert simhash.fingerprint("Un deux\ttrès bien") == h
 
 
-@pytest.mark.parametrize("tile", [3, 4096])
-def test_links_of_crowded_fingerprints(spark, tile):
+def test_blocks_grow_with_the_table():
+    assert [simhash.n_blocks(n, 4) for n in (0, 10**5, 10**7, 10**8, 10**9, 10**12)] == [6, 6, 7, 7, 8, 10]
+    for n in (6, 8, 10):
+        masks = simhash._block_masks(4, n)
+        rng = np.random.default_rng(n)
+        for _ in range(300):  # any four bits leave a key whole
+            flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not flip & m for m in masks)
+
+
+@pytest.mark.parametrize(("tile", "blocks"), [(3, None), (4096, None), (16, 8)])
+def test_links_of_crowded_fingerprints(spark, tile, blocks):
     """Chains, crowds around one value and far strangers; tiles cut the crowd's runs."""
     rng = np.random.default_rng(7)
     centre = int(rng.integers(0, 1 << 63))
@@ -65,7 +75,7 @@ def test_links_of_crowded_fingerprints(spark, tile):
     fps = sorted(fps)
     ids = list(range(len(fps)))
     rows = spark.createDataFrame(pd.DataFrame({"id": ids, "fp": np.array(fps, np.uint64).view(np.int64)}))
-    member = simhash.components(simhash.links(rows.select("fp"), tile=tile))
+    member = simhash.components(simhash.links(rows.select("fp"), tile=tile, blocks=blocks))
     got = rows.join(member, rows.fp == member.node, "left").select("id", F.coalesce("root", "fp").alias("root")).toPandas()
     least = got.groupby("root").id.transform("min")
     assert dict(zip(got.id, least, strict=True)) == dict(zip(ids, plain_components(ids, fps), strict=True))
@@ -90,6 +100,8 @@ def test_edge_cases(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    twins = spark.createDataFrame([(1, "a b", "later"), (1, "a b", "first")], "doc_id long, text string, doc string")
+    assert simhash.drop_near_duplicates(twins).collect() == simhash.drop_near_duplicates(twins.orderBy("doc")).collect() and simhash.drop_near_duplicates(twins).count() == 1
     none = docs.limit(0)
     assert simhash.near_duplicate_report(none).count() == 0 == simhash.drop_near_duplicates(none).count()
     nameless = spark.createDataFrame([(None, "a b c"), (None, "d e f")], "doc_id long, text string")
