@@ -74,11 +74,11 @@ e0 AS (
 TRANSITION_SQL = (
     """
 WITH RECURSIVE st AS (
-  SELECT event_type || ':' || hour(ts) AS kind, lag(event_type || ':' || hour(ts)) OVER w AS last, lag(ts) OVER w AS before, ts
+  SELECT event_type || ':' || hour(ts) AS kind, lag(event_type || ':' || hour(ts)) OVER w AS last
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT DISTINCT 'bundle:types' AS bundle_id, 'type:' || kind AS node_id, 'activity' AS kind, NULL AS type, 0 AS ordinal FROM st),
 e0 AS (SELECT DISTINCT 'communication' AS relation, 'type:' || kind AS arg1, 'type:' || last AS arg2, 'bundle:types' AS bundle_id
-       FROM st WHERE last <> kind AND ts <= before + INTERVAL 6 HOURS),
+       FROM st WHERE last <> kind),
 """
     + _DIRECTIONS
 )
@@ -107,7 +107,8 @@ r AS (SELECT src AS start, dst AS node, 1 AS depth FROM a UNION SELECT r.start,
 m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node)
 """
 _THREE = _REACH.format(" WHERE r.depth < 3")
-_ALL = _REACH.format(" WHERE r.depth < 400")
+#: Without a bound of the depth: only for graphs without a cycle.
+_ALL = _REACH.format("")
 
 
 # --- selection -------------------------------------------------------------------------------
@@ -181,7 +182,8 @@ def node_degrees(g):
     return select.node_degrees(g)
 
 
-@query("order", "z AS (SELECT 1) SELECT relation, src, dst FROM e JOIN n x ON src = x.node_id JOIN n y ON dst = y.node_id WHERE (x.type IS NULL) <> (y.type IS NULL)")
+@query("order", """v AS MATERIALIZED (SELECT node_id, (type IS NULL)::INT AS ds FROM n), d AS MATERIALIZED (SELECT relation, src, dst FROM e),
+j AS MATERIALIZED (SELECT relation, src, dst, x.ds + y.ds AS parts FROM d JOIN v x ON src = x.node_id JOIN v y ON dst = y.node_id) SELECT relation, src, dst FROM j WHERE parts = 1""")
 def cross_part_edges(g):
     return select.cross_part_edges(g).select("relation", "src", "dst")
 
@@ -341,17 +343,15 @@ def circular_dependencies(g):
     return traverse.circular_dependencies(g)
 
 
-_SHORTEST = """
-p AS (SELECT src AS s, dst AS t, [src, dst] AS path, 1 AS depth FROM a
-      UNION ALL SELECT p.s, a.dst, list_append(path, a.dst), depth + 1 FROM p JOIN a ON p.t = a.src WHERE NOT list_contains(path, a.dst) AND depth < 4),
-b AS (SELECT s, t, min(depth) AS depth FROM p GROUP BY s, t),
-h AS (SELECT p.*, count(*) OVER (PARTITION BY s, t) AS k FROM p JOIN b USING (s, t, depth) WHERE t IN (SELECT src FROM a)),
-i AS (SELECT unnest(path[2:-2]) AS node_id, 1.0::DOUBLE / k AS share FROM h WHERE len(path) > 2),
-c AS (SELECT count(DISTINCT src) AS k FROM a)
-SELECT node_id, round(sum(share) * 2 / ((k - 1) * (k - 2)), 9) AS betweenness FROM i, c GROUP BY node_id, k"""
-
-
-@query("transition")
+# walks by length: the least length of a walk between two nodes is their distance, and the walks of that length are the
+# shortest paths; no distance exceeds the number of nodes
+@query("transition", """k AS (SELECT count(*) AS k FROM n),
+w AS (SELECT src AS s, dst AS t, 1 AS depth, 1.0::DOUBLE AS ways FROM a
+      UNION ALL SELECT s, dst, depth + 1, sum(ways) FROM w JOIN a ON t = src, k WHERE depth < k GROUP BY s, dst, depth),
+d AS MATERIALIZED (SELECT s, t, min(depth) AS depth, arg_min(ways, depth) AS ways FROM w WHERE s <> t GROUP BY s, t),
+c AS (SELECT count(DISTINCT src) AS k FROM a),
+p AS MATERIALIZED (SELECT x.t AS node_id, x.ways * y.ways / z.ways AS share FROM d x JOIN d y ON x.t = y.s JOIN d z ON z.s = x.s AND z.t = y.t WHERE x.depth + y.depth = z.depth AND y.t IN (SELECT src FROM a))
+SELECT node_id, round(sum(share) * 2 / ((k - 1) * (k - 2)), 9) AS betweenness FROM p, c GROUP BY node_id, k""")
 def betweenness(g):
     return metrics.betweenness(g).withColumn("betweenness", F.round("betweenness", 9))
 
@@ -511,11 +511,19 @@ def adapter_statistics(g):
 # --- export ----------------------------------------------------------------------------------
 
 
-@query("order", """z AS (SELECT 1) SELECT bundle_id, kind || '(' || node_id || coalesce(', [prov:type=''cpm:' || type || ''']', '') || ')' AS record FROM n WHERE kind = 'agent' OR node_id LIKE 'part:%'
-UNION ALL SELECT bundle_id, CASE relation WHEN 'delegation' THEN 'actedOnBehalfOf' WHEN 'association' THEN 'wasAssociatedWith' WHEN 'derivation' THEN 'wasDerivedFrom' WHEN 'attribution' THEN 'wasAttributedTo' WHEN 'usage' THEN 'used' ELSE 'wasGeneratedBy' END
-  || '(' || arg1 || ', ' || arg2 || CASE WHEN relation IN ('usage', 'generation') THEN ', -)' ELSE ')' END FROM e""")
+_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+_ATTRIBUTES = """o AS (SELECT 'order:' || o_orderkey AS node_id, o_orderpriority AS priority, o_orderstatus AS status FROM orders),
+q AS (SELECT 'item:' || l_orderkey || ':' || l_linenumber AS node_id, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT || '.0' ELSE l_quantity::VARCHAR END AS quantity FROM items),
+f AS (SELECT n.*, priority, status, quantity, """ + _TIME.format("start_time") + " AS t1, " + _TIME.format("end_time") + """ AS t2 FROM n LEFT JOIN o USING (node_id) LEFT JOIN q USING (node_id)),
+r AS (SELECT *, CASE relation WHEN 'delegation' THEN 'actedOnBehalfOf' WHEN 'association' THEN 'wasAssociatedWith' WHEN 'derivation' THEN 'wasDerivedFrom' WHEN 'attribution' THEN 'wasAttributedTo' WHEN 'usage' THEN 'used' ELSE 'wasGeneratedBy' END AS verb FROM e)
+"""
+
+
+@query("order", _ATTRIBUTES + """SELECT bundle_id, kind || '(' || node_id || CASE WHEN kind = 'activity' THEN ', ' || coalesce(t1, '-') || ', ' || coalesce(t2, '-') ELSE '' END
+  || coalesce(', [' || nullif(concat_ws(', ', 'prov:type=''cpm:' || type || '''', 'attr:priority="' || priority || '"', 'attr:status="' || status || '"', 'attr:quantity="' || quantity || '"'), '') || ']', '') || ')' AS record FROM f
+UNION ALL SELECT bundle_id, verb || '(' || arg1 || ', ' || arg2 || CASE WHEN relation IN ('usage', 'generation') THEN ', -)' ELSE ')' END FROM r""")
 def provn_export(g):
-    """The whole order graph as PROV-N statements; the SQL still leaves out orders and items."""
+    """The whole order graph as PROV-N statements, with times and attributes."""
     return export.provn_lines(g).select("bundle_id", "record")
 
 
@@ -524,16 +532,15 @@ def ntriples_export(g):
     return export.ntriples(g).agg(F.count("*").alias("n_lines"))
 
 
-@query("transition", """z AS (SELECT 1) SELECT node_id AS id, 'activity' AS section, '{}' AS record FROM n
-UNION ALL SELECT '_:' || md5('communication|' || arg1 || '|' || arg2), 'wasInformedBy', '{"prov:informed":"' || arg1 || '","prov:informant":"' || arg2 || '"}' FROM e""")
+@query("order", _ATTRIBUTES + """SELECT node_id AS id, kind AS section, '{' || concat_ws(',', '"prov:type":[{"$":"cpm:' || type || '","type":"prov:QUALIFIED_NAME"}]', '"prov:startTime":"' || t1 || '"', '"prov:endTime":"' || t2 || '"',
+  '"attr:priority":["' || priority || '"]', '"attr:status":["' || status || '"]', '"attr:quantity":["' || quantity || '"]') || '}' AS record FROM f
+UNION ALL SELECT '_:' || md5(relation || '|' || arg1 || '|' || arg2), verb, '{"prov:' || x[1] || '":"' || arg1 || '","prov:' || x[2] || '":"' || arg2 || '"}'
+FROM (SELECT *, CASE relation WHEN 'delegation' THEN ['delegate', 'responsible'] WHEN 'association' THEN ['activity', 'agent'] WHEN 'derivation' THEN ['generatedEntity', 'usedEntity'] WHEN 'attribution' THEN ['entity', 'agent'] WHEN 'usage' THEN ['activity', 'entity'] ELSE ['entity', 'activity'] END AS x FROM r)""")
 def json_export(g):
-    """The records of the whole order graph; the SQL is still that of the transition graph."""
+    """The records of the whole order graph as PROV-JSON objects."""
     return export.json_records(g).select("id", "section", "record")
 
 
-QUERIES["json_export"] = lambda spark, sf_dir: json_export(order_graph(spark, sf_dir))
-
-
 # --- templates -------------------------------------------------------------------------------
 
 
