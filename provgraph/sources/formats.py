@@ -6,14 +6,16 @@ import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.names import resolve
 from ..graph import ProvGraph, empty, graph_of
+from ..plans.scratch import materialize
 
 # Names of the two formal arguments of each relation kind.
 FORMAL = {
@@ -150,16 +152,17 @@ def _xml_records(doc: str, text: str) -> Iterator[tuple]:
 
 def prov_xml_graph(texts: DataFrame) -> ProvGraph:
     """From rows (doc, value) with a PROV-XML document each; one document is parsed in one task."""
-    columns = ["doc", "bundle_id", "what", "id", "arg1", "arg2", "start_time", "end_time", "place", "attrs"]
+    attr = pa.struct([(c, pa.string()) for c in ("name", "value", "value_type")])
+    schema = pa.schema([(c, pa.string()) for c in ("doc", "bundle_id", "what", "id", "arg1", "arg2", "start_time", "end_time")] + [("place", pa.int64()), ("attrs", pa.list_(attr))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, value in zip(frame["doc"], frame["value"], strict=True):
-                yield pd.DataFrame(list(_xml_records(doc, value)), columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records = _xml_records(doc, value)
+                while part := list(islice(records, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-    from ..plans.scratch import materialize
-
-    rows = materialize(texts.select("doc", "value").mapInPandas(run, _RECORD), "xml-records")
+    rows = materialize(texts.select("doc", "value").mapInArrow(run, _RECORD), "xml-records")
     prefixes = rows.filter("what = 'namespace'").select(F.col("id").alias("prefix"), F.col("arg1").alias("uri")).dropDuplicates(["prefix"])
     return records_graph(rows.filter("what <> 'namespace'"), prefixes)
 
@@ -169,14 +172,24 @@ def prov_xml_graph(texts: DataFrame) -> ProvGraph:
 _TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
+def _unescaped(body: Column) -> Column:
+    """The text of an N-Triples literal; every escape is read once, from left to right."""
+    plain = F.create_map(*[F.lit(x) for pair in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")) for x in pair])
+    wide = lambda t, charset: F.decode(F.unhex(F.substr(t, F.lit(3))), charset)
+    char = lambda t: F.when(t.startswith("\\U"), wide(t, "UTF-32")).when(t.startswith("\\u"), wide(t, "UTF-16BE")).when(t.startswith("\\"), F.coalesce(F.try_element_at(plain, t), F.substr(t, F.lit(2)))).otherwise(t)
+    parts = F.regexp_extract_all(body, F.lit(r"(?s)(\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\.|[^\\]+)"), F.lit(1))
+    return F.when(body.contains("\\"), F.array_join(F.transform(parts, char), "")).otherwise(body)
+
+
 def ntriples_graph(lines: DataFrame) -> ProvGraph:
     """From a column ``value`` of N-Triples lines: kinds, types, the plain PROV relations, other attributes.
 
-    Ids are full URIs.
+    Ids are full URIs. Attributes keep the datatype of their literal, with the usual prefixes.
     """
     t = lines.select(F.regexp_extract("value", r"^<([^>]*)>", 1).alias("s"), F.regexp_extract("value", r"^<[^>]*>\s+<([^>]*)>", 1).alias("p"), F.regexp_extract("value", r"^<[^>]*>\s+<[^>]*>\s+(.*?)\s*\.\s*$", 1).alias("o")).filter("s <> ''")
-    obj = F.when(F.col("o").startswith("<"), F.regexp_extract("o", r"^<([^>]*)>", 1)).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1), r'\\"', '"'), r"\\\\", r"\\"))
-    t = t.select("s", "p", obj.alias("o"), F.col("o").startswith("<").alias("is_ref"))
+    obj = F.when(F.col("o").startswith("<"), F.regexp_extract("o", r"^<([^>]*)>", 1)).otherwise(_unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)))
+    datatype = F.replace(F.nullif(F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1), F.lit("")), F.lit(S.XSD_URI), F.lit("xsd:"))
+    t = t.select("s", "p", obj.alias("o"), F.col("o").startswith("<").alias("is_ref"), F.coalesce(datatype, F.lit("xsd:string")).alias("datatype"))
     kinds = {f"{S.PROV_URI}{k.capitalize()}": k for k in KINDS}
     verbs = {f"{S.PROV_URI}{r.verb}": r.name for r in S.RELATIONS.values()}
     pick = lambda c, d: reduce(lambda rest, kv: F.when(F.col(c) == kv[0], F.lit(kv[1])).otherwise(rest), d.items(), F.lit(None).cast("string"))
@@ -188,7 +201,7 @@ def ntriples_graph(lines: DataFrame) -> ProvGraph:
     )
     relation = pick("p", verbs)
     edges = t.filter(relation.isNotNull() & F.col("is_ref")).distinct().select(F.lit(None).cast("string").alias("bundle_id"), F.concat_ws("|", relation, "s", "o").alias("edge_id"), relation.alias("relation"), F.col("s").alias("arg1"), F.col("o").alias("arg2"), F.lit(0).cast("long").alias("ordinal"))
-    attrs = t.filter(relation.isNull() & (F.col("p") != _TYPE)).select(F.col("s").alias("record_id"), F.lit("node").alias("record_class"), F.col("p").alias("name"), F.col("o").alias("value"), F.when(F.col("is_ref"), F.lit("xsd:anyURI")).otherwise(F.lit("xsd:string")).alias("value_type"), F.lit(0).cast("long").alias("ordinal"))
+    attrs = t.filter(relation.isNull() & (F.col("p") != _TYPE)).select(F.col("s").alias("record_id"), F.lit("node").alias("record_class"), F.col("p").alias("name"), F.col("o").alias("value"), F.when(F.col("is_ref"), F.lit("xsd:anyURI")).otherwise(F.col("datatype")).alias("value_type"), F.lit(0).cast("long").alias("ordinal"))
     return graph_of(nodes, edges, attrs)
 
 
