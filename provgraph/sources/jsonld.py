@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
@@ -105,8 +105,6 @@ def storage_bundles(texts: DataFrame) -> ProvGraph:
     """A storage bundle per document (``doc`` names it): main activity, two connectors, samples, the first
     two persons as senders, the first five observations.
     """
-    from pyspark.sql import Window
-
     spark = texts.sparkSession
     nodes = categories(nodes_of(texts))
     nth = F.row_number().over(Window.partitionBy("doc", "category").orderBy("place"))
@@ -131,7 +129,10 @@ def storage_bundles(texts: DataFrame) -> ProvGraph:
         attr_rows(d, main, schema__name=F.concat(F.col("doc"), F.lit(" Processing"))), attr_rows(persons, person_id, schema__name=name("Unknown")),
         attr_rows(samples, sample_id, schema__name=name("Unknown Sample"), schema__description=F.coalesce(_key("m", "description"), F.lit(""))),
     )
-    return graph_from(spark, rows, edges, attrs, PREFIXES, dedupe=True)
+    # an id is a record of its own in every bundle; within a bundle the first one stays
+    first = Window.partitionBy("bundle_id", "node_id").orderBy("ordinal")
+    rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return graph_from(spark, rows, edges, attrs, PREFIXES)
 
 
 def bundle_counts(g: ProvGraph) -> DataFrame:
