@@ -50,8 +50,9 @@ class ProvGraph:
         return self.view(name).filter("src <> dst").select("src", "dst").distinct()
 
     def materialized(self) -> ProvGraph:
-        """The same graph with nodes and edges written once, for repeated use."""
-        return self.with_(nodes=materialize(self.nodes, "nodes"), edges=materialize(self.edges, "edges"))
+        """The same graph with nodes, edges and attributes written once, for repeated use."""
+        once = lambda name: t if hasattr(t := getattr(self, name), "scratch_path") else materialize(t, name)
+        return self.with_(nodes=once("nodes"), edges=once("edges"), attrs=once("attrs"))
 
     def count(self) -> int:
         """Number of nodes."""

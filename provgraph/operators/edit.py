@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..errors import InvalidOperationError, MultipleNodesError, NodeNotFoundError
 from ..functions.names import attribute_name
-from ..functions.types import is_relation, types_of
+from ..functions.types import is_relation, no_types, types_of
 from ..graph import ProvGraph
 
 KINDS = ("entity", "activity", "agent")
@@ -45,6 +45,91 @@ def add_node(g: ProvGraph, kind: str, node_id: str, attributes: Mapping[str, obj
     return g.with_(nodes=g.nodes.filter(F.col("node_id") != node_id).unionByName(row), attrs=g.attrs.unionByName(_attr_rows(g, node_id, "node", attributes)))
 
 
+def add_nodes(g: ProvGraph, rows: DataFrame, attrs: DataFrame | None = None) -> ProvGraph:
+    """Many new nodes at once: ``rows`` as in schema.NODES, of which bundle, types and times may lack.
+
+    Ids in use, ids given twice and unknown kinds raise; placeholders are replaced. One check and
+    no job per node; the order of arrival is that of the ids.
+    """
+    rows = rows.select("node_id", F.lower("kind").alias("kind"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (("bundle_id", "string"), ("start_time", "timestamp"), ("end_time", "timestamp"))], (F.col("types") if "types" in rows.columns else no_types()).alias("types"))
+    declared = g.nodes.filter("NOT is_placeholder").select("node_id")
+    bad = rows.filter(~F.col("kind").isin(*KINDS) | F.col("node_id").isNull()).select(F.coalesce("node_id", F.lit("null")).alias("node_id"))
+    bad = bad.union(rows.join(declared, "node_id", "left_semi").select("node_id")).union(rows.groupBy("node_id").count().filter("count > 1").select("node_id"))
+    if first := bad.first():
+        raise InvalidOperationError(f"{first.node_id} is in use, given twice, or of no kind")
+    start = _next_ordinal(g.nodes)
+    new = rows.withColumn("is_placeholder", F.lit(False)).withColumn("ordinal", F.lit(start).cast("long")).select(g.nodes.columns)
+    nodes = g.nodes.join(rows.select("node_id"), "node_id", "left_anti").select(g.nodes.columns).unionByName(new)
+    return g.with_(nodes=nodes, attrs=g.attrs if attrs is None else g.attrs.unionByName(attrs))
+
+
+def add_edges(g: ProvGraph, rows: DataFrame) -> ProvGraph:
+    """Many new relations at once: ``rows`` (relation, arg1, arg2, and edge_id or bundle_id where known).
+
+    Arguments go in formal order. An end that is no node raises; relations without an id are named
+    by their kind and ends.
+    """
+    name = F.coalesce(*[F.when(F.lower("relation").isin(r.name, r.verb.lower(), *r.aliases), F.lit(r.name)) for r in S.RELATIONS.values()])
+    made = rows.select(
+        (F.col("bundle_id") if "bundle_id" in rows.columns else F.lit(None)).cast("string").alias("bundle_id"), (F.col("edge_id") if "edge_id" in rows.columns else F.lit(None)).cast("string").alias("edge_id"), name.alias("relation"), "arg1", "arg2", F.lit(_next_ordinal(g.edges)).cast("long").alias("ordinal")
+    ).withColumn("edge_id", F.coalesce("edge_id", F.concat_ws("|", "relation", "arg1", "arg2")))
+    ends = made.select(F.explode(F.array("arg1", "arg2")).alias("node_id")).distinct()
+    if missing := ends.join(g.nodes.select("node_id"), "node_id", "left_anti").first():
+        raise NodeNotFoundError(missing.node_id)
+    if not made.filter("relation IS NULL").isEmpty():
+        raise InvalidOperationError("unknown relation")
+    return g.with_(edges=g.edges.unionByName(made))
+
+
+class EdgeBuilder:
+    """Collects what an edge needs; ``build`` adds it to a graph.
+
+    A divided edge has a relation row for each of its relations, a merged one only for the first.
+    """
+
+    def __init__(self):
+        self.relations: list[str] = []
+        self.ends: dict[str, str] = {}
+        self.edge_id: str | None = None
+        self.divided = False
+
+    def with_relation(self, relation: str) -> EdgeBuilder:
+        self.relations = [S.relation_name(relation), *self.relations[1:]]
+        return self
+
+    def with_relations(self, relations: Iterable[str]) -> EdgeBuilder:
+        self.relations = [S.relation_name(r) for r in relations]
+        return self.as_divided()
+
+    def with_cause(self, node_id: str) -> EdgeBuilder:
+        self.ends["cause"] = node_id
+        return self
+
+    def with_effect(self, node_id: str) -> EdgeBuilder:
+        self.ends["effect"] = node_id
+        return self
+
+    def with_identifier(self, edge_id: str) -> EdgeBuilder:
+        self.edge_id = edge_id
+        return self
+
+    def as_divided(self) -> EdgeBuilder:
+        self.divided = True
+        return self
+
+    def as_merged(self) -> EdgeBuilder:
+        self.divided = False
+        return self
+
+    def build(self, g: ProvGraph) -> ProvGraph:
+        lacking = [x for x, there in (("relation", self.relations), ("cause", "cause" in self.ends), ("effect", "effect" in self.ends)) if not there]
+        if lacking:
+            raise ValueError(f"an edge needs a {lacking[0]}")
+        kinds = self.relations if self.divided else self.relations[:1]
+        rows = [(r, self.ends["effect"], self.ends["cause"], self.edge_id if k == 0 else None) for k, r in enumerate(kinds)]
+        return add_edges(g, g.spark.createDataFrame(rows, "relation string, arg1 string, arg2 string, edge_id string"))
+
+
 def remove_node(g: ProvGraph, node_id: str, kind: str | None = None) -> ProvGraph:
     """Without the node, its attributes and its edges; several kinds under one id need ``kind``."""
     found = g.nodes.filter(F.col("node_id") == node_id)

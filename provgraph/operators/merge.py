@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,9 @@ def union_graphs(*graphs: ProvGraph) -> ProvGraph:
     return out
 
 
-def divide(g: ProvGraph) -> ProvGraph:
-    """One edge row per relation record (how edges are stored)."""
-    return g
+def divide(g: ProvGraph, view: str = "wrap") -> DataFrame:
+    """(src, dst, n_relations, relations): one row per relation record, as edges are stored."""
+    return g.view(view).select("src", "dst", F.lit(1).cast("long").alias("n_relations"), F.array("relation").alias("relations"))
 
 
 def merge_edges(g: ProvGraph, view: str = "wrap") -> DataFrame:
@@ -73,6 +75,25 @@ def merge_edges(g: ProvGraph, view: str = "wrap") -> DataFrame:
     return g.view(view).groupBy("src", "dst").agg(F.count("*").alias("n_relations"), F.sort_array(F.collect_set("relation")).alias("relations"))
 
 
+#: Ways to make edges from relation records, by name; the first is the default.
+GROUPINGS = {"merged": merge_edges, "divided": divide}
+
+
+def register_grouping(name: str, make: Callable[[ProvGraph, str], DataFrame], default: bool = False) -> None:
+    """A way of one's own: a function of a graph and a view that gives columns like ``merge_edges``."""
+    others = {k: v for k, v in GROUPINGS.items() if k != name}
+    GROUPINGS.clear()
+    GROUPINGS.update({name: make} | others if default else others | {name: make})
+
+
+def grouped_edges(g: ProvGraph, mode: str | None = None, view: str = "wrap") -> DataFrame:
+    """The edges of a view in a registered grouping; without a name in the default one."""
+    name = mode or next(iter(GROUPINGS))
+    if name not in GROUPINGS:
+        raise ValueError(f"unknown grouping {name!r}")
+    return GROUPINGS[name](g, view)
+
+
 def filter_by_time(g: ProvGraph, start: str | None = None, end: str | None = None, keep_edges: bool = True) -> ProvGraph:
     """Without activities that start before ``start`` or end after ``end``; unknown times stay.
 

@@ -47,10 +47,32 @@ def degree_centrality(g: ProvGraph, view: str = "doc") -> DataFrame:
 
 
 def hubs(g: ProvGraph, view: str = "doc") -> DataFrame:
-    """The tenth of the nodes (at least one) with the highest degree; ties by arrival."""
+    """The tenth of the nodes (at least one) with the highest degree; ties by arrival, then by id.
+
+    A histogram of the degrees gives the degree at which the tenth ends, and a histogram of the
+    arrivals among the nodes of that degree the arrival; only nodes equal in both are sorted.
+    """
     d = degree_centrality(g, view).select(F.col("node_id").alias("_n"), F.col("total_degree").alias("degree"))
-    k = max(1, g.nodes.count() // 10)
-    return g.nodes.select("node_id", "ordinal").join(d, F.col("node_id") == F.col("_n")).orderBy(F.desc("degree"), "ordinal").limit(k).select("node_id", "degree")
+    rows = materialize(g.nodes.select("node_id", "ordinal").join(d, F.col("node_id") == F.col("_n")).select("node_id", "ordinal", "degree"), "hub-degrees")
+    k = max(1, rows.count() // 10)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("degree"))
+    degrees = rows.groupBy("degree").agg(F.count("*").alias("n"))  # as many rows as there are degrees
+    edge = degrees.withColumn("upto", F.sum("n").over(above)).filter(F.col("upto") >= k).orderBy(F.desc("degree")).first()
+    if edge is None:
+        return rows.select("node_id", "degree")
+    sure, tied, left = rows.filter(F.col("degree") > edge["degree"]), rows.filter(F.col("degree") == edge["degree"]), k - (edge["upto"] - edge["n"])
+    # histograms of 1024 ranges of the arrivals, each of the range in which the one before runs full
+    low, high = tied.agg(F.min("ordinal"), F.max("ordinal")).first()
+    while low < high:
+        width = (high - low) // 1024 + 1
+        at = F.floor((F.col("ordinal") - low) / width)
+        for r in tied.filter(F.col("ordinal").between(low, high)).groupBy(at.alias("at")).count().orderBy("at").collect():
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        low, high = low + r["at"] * width, min(high, low + (r["at"] + 1) * width - 1)
+    rest = tied.filter(F.col("ordinal") == low).orderBy("node_id").limit(left)
+    return sure.unionByName(tied.filter(F.col("ordinal") < low)).unionByName(rest).select("node_id", "degree")
 
 
 def hubs_above_mean(g: ProvGraph, factor: float = 1.5, k: int = 3, view: str = "wrap") -> DataFrame:

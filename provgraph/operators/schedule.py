@@ -52,7 +52,11 @@ def execution_order(g: ProvGraph, scores: DataFrame | None = None, view: str = "
     scores = priorities(g, view=view) if scores is None else scores
     where = traverse.connected_components(g, view).withColumnRenamed("node_id", "_n")
     n = scores.select("node_id", "priority", "ordinal").join(where, F.col("node_id") == F.col("_n")).drop("_n")
-    into = g.adjacency(view).groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("needs"))
+    linked = g.adjacency(view)
+    into = linked.groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("needs"))
+    ends = linked.select(F.explode(F.array("src", "dst")).alias("end")).distinct()
+    alone = n.join(ends, F.col("node_id") == F.col("end"), "left_anti").select("component", F.lit(0).cast("long").alias("position"), "node_id")
+    n = n.join(ends, F.col("node_id") == F.col("end"), "left_semi")
     rows = n.join(into, F.col("node_id") == F.col("dst"), "left").select("component", "node_id", "priority", "ordinal", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
 
     def order(part: pd.DataFrame) -> pd.DataFrame:
@@ -76,7 +80,7 @@ def execution_order(g: ProvGraph, scores: DataFrame | None = None, view: str = "
                     tick += 1
         return pd.DataFrame({"component": part["component"].iloc[0], "position": range(len(out)), "node_id": out})
 
-    return rows.groupBy("component").applyInPandas(order, "component string, position long, node_id string")
+    return rows.groupBy("component").applyInPandas(order, "component string, position long, node_id string").unionByName(alone)
 
 
 def priority_issues(g: ProvGraph, scores: DataFrame | None = None, view: str = "doc") -> DataFrame:

@@ -13,7 +13,8 @@ from ..functions.types import types_of
 from ..graph import ProvGraph, empty, graph_of
 from ..plans.scratch import materialize
 from ..sources.build import edge_rows
-from ..sources.template import LISTS
+from ..sources.jsonld import jsonld_templates
+from ..sources.template import LISTS, parse_templates
 
 _TYPES = {"backwardConnectors": "BackwardConnector", "forwardConnectors": "ForwardConnector", "senderAgents": "SenderAgent", "receiverAgents": "ReceiverAgent", "currentAgents": "CurrentAgent", "identifierEntities": "IdentifierEntity"}
 _CONNECTOR_ATTRIBUTES = ("externalId", "referencedBundleId", "referencedMetaBundleId", "referencedBundleHashValue", "hashAlg", "provenanceServiceUri")
@@ -174,3 +175,20 @@ def template_quality(templates: DataFrame) -> DataFrame:
         "bundleName", *[c.alias(k) for k, c in counts.items()], *[F.coalesce(f, F.lit(False)).alias(k) for k, f in flags.items()], score.alias("quality_score"), level.alias("quality_level"),
         reduce(lambda a, b: a + b, counts.values()).alias("total_elements"), (n / F.greatest(counts["sender_agents"] + counts["receiver_agents"], F.lit(1))).alias("connector_ratio"), density.alias("attribute_density"),
     )
+
+
+#: How rows (doc, value) of each source format become templates.
+FORMATS = {"standard": parse_templates, "mou": parse_templates, "embrc": jsonld_templates}
+
+
+def transform_and_validate(texts: DataFrame, source_format: str = "standard") -> DataFrame:
+    """Templates from rows (doc, value); an unknown format is read as standard, a missing field raises."""
+    return check_templates(FORMATS.get(source_format, parse_templates)(texts))
+
+
+def full_pipeline(texts: DataFrame, source_format: str = "standard") -> DataFrame:
+    """Per template: its columns, ``quality`` and ``agents`` as structs, and the source format."""
+    t = materialize(transform_and_validate(texts, source_format), "templates")
+    as_struct = lambda rows, name: rows.select(F.col("bundleName").alias(f"_{name}"), F.struct(*[c for c in rows.columns if c != "bundleName"]).alias(name))
+    out = t.join(as_struct(template_quality(t), "quality"), F.col("bundleName") == F.col("_quality")).join(as_struct(agent_overlap(t), "agents"), F.col("bundleName") == F.col("_agents"))
+    return out.drop("_quality", "_agents").withColumn("source_format", F.lit(source_format))

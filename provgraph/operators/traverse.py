@@ -76,11 +76,11 @@ def find_paths(g: ProvGraph, pairs: DataFrame, max_nodes: int | None = None, rel
 
 def undirected_paths(g: ProvGraph, pairs: DataFrame, max_depth: int = 3, view: str = "wrap") -> DataFrame:
     """Simple paths of at most ``max_depth`` edges along either direction."""
-    e = g.view(view)
-    both = e.unionByName(e.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    e = g.view(view).select("src", "dst")
+    both = e.union(_reversed(e))
     walk = pairs.select("source", "target", F.array("source").alias("path"), F.col("source").alias("at"))
     done = walk.filter("source = target").drop("at")
-    hops = both.select("src", "dst").filter("src <> dst").distinct()
+    hops = materialize(both.filter("src <> dst").distinct(), "undirected-hops")
     for _ in range(max_depth):
         step = walk.filter("at <> target").join(hops, F.col("at") == hops.src).filter(~F.array_contains("path", F.col("dst")))
         walk = step.select("source", "target", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))

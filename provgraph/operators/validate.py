@@ -48,6 +48,8 @@ CATALOGUE = {
     "validation_rule_failed": ("ERROR", "STRUCTURAL", "Validation rule failed: {}"),
 }
 HIGH_COST = 10.0
+#: So many main activities are named in a message; all of them are rows of ``select.main_activities``.
+NAMED = 20
 
 
 def finding(rows: DataFrame, code: str, fill: Column | None = None, node_id: Column | None = None, edge_id: Column | None = None, bundle_id: Column | None = None) -> DataFrame:
@@ -104,7 +106,7 @@ def cross_part_consistency(g: ProvGraph) -> DataFrame:
 
 def connectivity(g: ProvGraph) -> DataFrame:
     """One finding if the component of the first node does not have all nodes."""
-    c = traverse.connected_components(g, "wrap")
+    c = traverse.connected_components(g, "wrap").distinct()  # an id may have several records
     rows = g.nodes.select(F.col("node_id").alias("_n"), "ordinal").join(c, F.col("_n") == F.col("node_id"))
     by = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "_n")).alias("first"))
     whole = by.agg(F.sum("n").alias("total"), F.min_by("n", "first").alias("reachable"))
@@ -231,7 +233,9 @@ def structure(g: ProvGraph, orphans: bool = True) -> DataFrame:
     """
     g = g.materialized()
     mains = select.main_activities(g)
-    count = mains.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("node_id")), ", ").alias("ids"))
+    some_ids = mains.select("node_id").orderBy("node_id").limit(NAMED).agg(F.array_join(F.sort_array(F.collect_list("node_id")), ", ").alias("ids"))
+    count = mains.agg(F.count("*").alias("n")).join(some_ids)
+    count = count.withColumn("ids", F.when(F.col("n") > NAMED, F.concat("ids", F.lit(" and "), F.col("n") - NAMED, F.lit(" more"))).otherwise(F.col("ids")))
     forward, backward = select.forward_connectors(g), select.backward_connectors(g)
     both = forward.unionByName(backward)
     main = select.main_activity(g).select(F.col("node_id").alias("main"))
@@ -272,5 +276,3 @@ def unreachable_nodes(g: ProvGraph) -> DataFrame:
     main = select.main_activities(g).select(F.col("node_id").alias("m"))
     good = c.join(main, F.col("node_id") == F.col("m"), "left_semi").select("component").distinct()
     return c.join(good, "component", "left_anti").select("node_id")
-
-

@@ -59,6 +59,27 @@ def parse_templates(rows: DataFrame, column: str = "value") -> DataFrame:
     return _normal(rows.select(F.from_json(column, _RAW).alias("t")).select("t.*"))
 
 
+def _fitted(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """``c`` as ``want``: fields that a struct lacks are null, inside arrays too."""
+    if isinstance(want, T.StructType):
+        own = {f.name: f.dataType for f in have}
+        fields = [(_fitted(c[f.name], own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and have != want:
+        return F.transform(c, lambda x: _fitted(x, have.elementType, want.elementType))
+    return c.cast(want)
+
+
+def templates_from(rows: DataFrame) -> DataFrame:
+    """Templates from columns named like those of TEMPLATE; columns and fields may lack, lists then are empty."""
+    have = {f.name: f.dataType for f in rows.schema}
+    out = []
+    for f in T.StructType.fromDDL(TEMPLATE):
+        c = _fitted(F.col(f.name), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+        out.append((F.coalesce(c, F.array().cast(f.dataType)) if f.name in LISTS else F.coalesce(c, F.create_map().cast(_MAP)) if f.name == "prefixes" else c).alias(f.name))
+    return rows.select(*out)
+
+
 def templates_of(spark: SparkSession, *data: Mapping[str, Any] | str) -> DataFrame:
     """Templates from dicts or JSON strings on the driver."""
     texts = [d if isinstance(d, str) else json.dumps(d, ensure_ascii=False) for d in data]
