@@ -82,15 +82,30 @@ e0 AS (SELECT DISTINCT 'communication' AS relation, 'type:' || kind AS arg1, 'ty
 """
     + _DIRECTIONS
 )
+#: Graphs that this session has loaded, by application, folder and name.
+_LOADED: dict[tuple[str, str, str], ProvGraph] = {}
+
+
+def loaded(spark: SparkSession, sf_dir: str, name: str) -> ProvGraph:
+    """The graph of a folder's tables, written to the shared folder once per session and read by every query.
+
+    A folder whose tables change within a session needs ``_LOADED.clear()``.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LOADED:
+        _LOADED[key] = _GRAPHS[name][0](spark, sf_dir).materialized()
+    return _LOADED[key]
+
+
 _GRAPHS = {"order": (order_graph, ORDER_SQL), "activity": (activity_graph, ACTIVITY_SQL), "transition": (transition_graph, TRANSITION_SQL)}
 
 
 def query(graph: str, sql: str | None = None) -> Callable[[Callable[[ProvGraph], DataFrame]], Callable[[ProvGraph], DataFrame]]:
     """Register a function of a graph; ``sql`` goes on from the graph's tables."""
-    build, prefix = _GRAPHS[graph]
+    prefix = _GRAPHS[graph][1]
 
     def register(f: Callable[[ProvGraph], DataFrame]) -> Callable[[ProvGraph], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(build(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(loaded(spark, sf_dir, graph))
         if sql is not None:
             SQL[f.__name__] = prefix + sql
         return f
@@ -223,9 +238,9 @@ def degree_distribution(g):
     return metrics.degree_distribution(g)
 
 
-@query("order", _DEGREES + ", t AS (SELECT in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, n.ordinal, node_id) AS k FROM d JOIN n USING (node_id)) SELECT degree, count(*) AS n_hubs FROM t WHERE k <= greatest(1, (SELECT count(*) FROM n) // 10) GROUP BY degree")
+@query("order", _DEGREES + ", t AS (SELECT node_id, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, n.ordinal, node_id) AS k FROM d JOIN n USING (node_id)) SELECT node_id, degree FROM t WHERE k <= greatest(1, (SELECT count(*) FROM n) // 10)")
 def hub_nodes(g):
-    return metrics.hubs(g).groupBy("degree").agg(F.count("*").alias("n_hubs"))
+    return metrics.hubs(g)
 
 
 @query("order", _DEGREES + "SELECT node_id, in_degree FROM d")
@@ -491,19 +506,21 @@ def validate_constraints(g):
 
 
 @query("order", """u AS (SELECT src AS x, dst AS y FROM a UNION SELECT dst, src FROM a), """ + _DEGREES + """,
-i AS (SELECT count(*) AS k FROM n WHERE node_id NOT IN (SELECT x FROM u))
+v AS (SELECT DISTINCT x FROM u), i AS (SELECT count(*) AS k FROM n WHERE node_id NOT IN (SELECT x FROM v)),
+c AS (SELECT min(x) AS x FROM v UNION SELECT u.y FROM c JOIN u USING (x)),
+w AS (SELECT CASE WHEN (SELECT count(*) FROM c) = (SELECT count(*) FROM v) THEN 1 END AS whole)
 SELECT count(*) AS node_count, (SELECT count(*) FROM e) AS edge_count, round(avg(in_degree + out_degree), 9) AS average_degree,
-  round((SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 12) AS density, any_value(k) + 1 AS component_count FROM d, i""")
+  round((SELECT count(*) FROM e) / (count(*) * (count(*) - 1)), 12) AS density, any_value(k) + any_value(whole) AS component_count FROM d, i, w""")
 def document_complexity(g):
-    """SQL counts components as isolated nodes plus one: orders, parts and agents hang together."""
+    """SQL reaches all linked nodes from one of them, so that components are the isolated nodes and one; else it gives null."""
     return metrics.complexity(g).select("node_count", "edge_count", F.round("average_degree", 9).alias("average_degree"), F.round("density", 12).alias("density"), "component_count")
 
 
 @query("activity", """q AS (SELECT DISTINCT cause, effect FROM e), v AS (SELECT node_id, count(x) AS k FROM n LEFT JOIN (SELECT cause AS x FROM q UNION ALL SELECT effect FROM q) ON node_id = x GROUP BY node_id),
 u AS (SELECT src AS x, dst AS y FROM a UNION SELECT dst, src FROM a),
-c AS (SELECT node_id AS x, node_id AS y FROM n UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), m AS (SELECT x, min(y) AS component FROM c GROUP BY x)
+c AS (SELECT node_id AS x, node_id AS y FROM n UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), m AS (SELECT x, min(y) AS component FROM c GROUP BY x), t AS (SELECT cause AS x, effect AS y FROM q UNION SELECT t.x, q.effect FROM t JOIN q ON t.y = q.cause)
 SELECT count(*) AS num_nodes, (SELECT count(*) FROM e) AS num_edges, (SELECT count(*) FROM q) AS num_distinct_edges, (SELECT count(DISTINCT component) FROM m) = 1 AS is_connected,
-  (SELECT count(DISTINCT component) FROM m) AS num_components, true AS is_dag, round((SELECT count(*) FROM q) / (count(*) * (count(*) - 1)), 12) AS density, round(avg(k), 9) AS average_degree, max(k) AS max_degree, min(k) AS min_degree FROM v""")
+  (SELECT count(DISTINCT component) FROM m) AS num_components, (SELECT count(*) FROM t WHERE x = y) = 0 AS is_dag, round((SELECT count(*) FROM q) / (count(*) * (count(*) - 1)), 12) AS density, round(avg(k), 9) AS average_degree, max(k) AS max_degree, min(k) AS min_degree FROM v""")
 def adapter_statistics(g):
     return metrics.graph_statistics(g).withColumns({"density": F.round("density", 12), "average_degree": F.round("average_degree", 9)})
 
@@ -555,14 +572,14 @@ def _order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     some = lambda c, f: F.transform(F.coalesce(c, F.array().cast("array<string>")), f)
     item = lambda i: F.named_struct(F.lit("id"), i)
-    t = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.to_json(F.struct(
+    t = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         text("bundle", "o_orderkey").alias("bundleName"),
         F.struct(text("order", "o_orderkey").alias("id"), iso("o_orderdate").alias("startTime"), iso("shipped").alias("endTime"), some(F.col("parts"), lambda i: F.named_struct(F.lit("targetId"), i)).alias("used"), some(F.col("items"), lambda i: i).alias("generated")).alias("mainActivity"),
         some(F.col("parts"), item).alias("backwardConnectors"),
         some(F.col("items"), lambda i: F.named_struct(F.lit("id"), i, F.lit("derivedFrom"), F.col("parts"))).alias("forwardConnectors"),
         some(F.col("supps"), item).alias("senderAgents"), F.array(item(F.concat(F.lit("supp:"), F.col("o_custkey").cast("string")))).alias("receiverAgents"),
-    )).alias("value"))
-    return template.parse_templates(t)
+    )
+    return template.templates_from(t)
 
 
 _TEMPLATES = """
