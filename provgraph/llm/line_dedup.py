@@ -135,6 +135,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     with a key of at least ``min_chars`` code points that is found in at least ``min_docs``
     distinct ids goes, except in the largest of these ids. Null and empty texts are one empty
     line. A null id is one more document, smaller than all others. Repeated rows share a bitmap.
+    An empty table gives an empty table; other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_line_rows(min_chars), "hash binary, doc_id long, text_id binary, n_lines long, at binary"), "line-rows")
@@ -179,14 +180,21 @@ def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the bitmaps applied to ``text``; every document stays, if with an empty text."""
+    """``docs`` with the bitmaps applied to ``text``; every document stays, if with an empty text.
+
+    Columns are those of ``docs``, whatever they are called.
+    """
     kept = F.pandas_udf(lambda text, bitmap: pd.Series([kept_text(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object), "string")
     out = _with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).withColumn("text", F.when(F.col("n_dropped") > 0, kept("text", "bitmap")).otherwise(F.col("text")))
     return out.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per document: doc_id, n_lines, n_dropped, kept_sha256."""
+    """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256.
+
+    Nulls, ties and repeated rows are as in ``keep_bitmaps``; an empty table gives an empty table;
+    other columns are not looked at.
+    """
     docs = docs.select("doc_id", "text")
     rows = _with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).select("doc.doc_id", "n_lines", "n_dropped", "text", "bitmap")
 

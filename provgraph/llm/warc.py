@@ -224,7 +224,11 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def warc_report(pages: DataFrame) -> DataFrame:
-    """Per page, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html is an empty payload; rows with the largest page_id of a payload are responses; an
+    empty table gives an empty table; other columns are not looked at.
+    """
     files = write_archives(pages)
     return read_archives(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,12 +1,16 @@
 """Every query with SQL against DuckDB, on the whole small tables and on odd rows."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from provgraph.llm import chat, decontam, line_dedup, mixing, quality, warc
+from provgraph.llm import chat, decontam, jaccard, line_dedup, mixing, quality, sharding, simhash, token_counts, toxicity, warc
 from provgraph.llm.queries import QUERIES, SQL
 
+from .test_simhash import plain_components, plain_fingerprint
+
 TABLES = ("documents", "pages", "benchmark", "conversations", "labels")
 
 
@@ -67,3 +71,46 @@ def test_empty_tables(spark, no_docs):
         assert got.count() == 0
     assert warc.warc_report(none("page_id long, url string, html string")).count() == 0
     assert chat.conversation_report(chat.format_conversations(none("conv_id long, turn long, role string, text string"))).count() == 0
+
+
+#: Names that operators use for columns of their own.
+CLASHES = ("path", "turns", "members", "tokens", "uri", "ordinal", "n_tokens", "block", "payload", "payload_digest", "hash", "fp", "row", "id", "at", "lines", "host", "text_id", "kept", "gone", "key", "size", "shard", "slot", "start", "items", "spans", "copies", "label_id", "y", "score")
+
+
+def test_clashing_columns(spark, sf):
+    """Every report gives the same with columns that have the names of its own."""
+
+    def crowded(df):
+        return df.withColumns({c: F.lit("mine") for c in CLASHES if c not in df.columns})
+
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet").limit(40 if n != "benchmark" else 1000) for n in TABLES}
+    t = {n: df.cache() for n, df in t.items()}
+    reports = {
+        "chat": lambda t: chat.conversation_report(chat.format_conversations(chat.with_probe(t["conversations"]))), "lines": lambda t: line_dedup.line_dedup_report(t["documents"]), "quality": lambda t: quality.quality_report(t["documents"]),
+        "warc": lambda t: warc.warc_report(t["pages"]), "shards": lambda t: sharding.shard_report(t["documents"]), "toxicity": lambda t: toxicity.toxicity_report(t["documents"], t["labels"]), "tokens": lambda t: token_counts.token_report(t["documents"]),
+        "simhash": lambda t: simhash.near_duplicate_report(t["documents"]), "windows": lambda t: decontam.decontam_report(t["documents"], t["benchmark"]), "mix": lambda t: mixing.mix_report(t["documents"]),
+    }
+    for name, report in reports.items():
+        a, b = (normal(report(x).toPandas()) for x in (t, {n: crowded(df) for n, df in t.items()}))
+        assert a.equals(b), name
+    docs = crowded(t["documents"])
+    for made in (line_dedup.drop_lines(docs), quality.quality_filter(docs), simhash.drop_near_duplicates(docs), jaccard.drop_similar(docs), decontam.decontaminate(docs, crowded(t["benchmark"])), decontam.decontaminate(docs, t["benchmark"], remove="spans"), mixing.mixed_documents(docs)):
+        assert made.columns == docs.columns and made.filter("path <> 'mine'").count() == 0
+    assert sharding.assign_shards(docs).columns[: len(docs.columns)] == docs.columns
+
+
+def test_hot_fingerprints_through_the_query(spark, tmp_path):
+    """A third of the rows empty, a crowd of near copies, and copies: the registered query against all pairs."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, "" if k % 2 else None) for k in range(300)]
+    for k in range(250):
+        own = list(words)
+        for at in rng.choice(400, 3, replace=False):
+            own[at] = f"x{rng.integers(50)}"
+        rows.append((1000 + k, " ".join(own)))
+    rows += [(2000 + k, " ".join(words)) for k in range(200)] + [(3000 + k, " ".join(f"z{x}" for x in rng.integers(0, 1 << 30, 30))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.component_id for r in QUERIES["op8_simhash"](spark, str(tmp_path)).collect()}
+    ids = [i for i, _ in rows]
+    assert got == dict(zip(ids, plain_components(ids, [plain_fingerprint(t) for _, t in rows]), strict=True))
