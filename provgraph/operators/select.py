@@ -203,7 +203,9 @@ def edge_kinds(g: ProvGraph) -> DataFrame:
 
 
 def reversed_edges(g: ProvGraph, view: str = "wrap") -> DataFrame:
-    return g.view(view).withColumnsRenamed({"src": "dst", "dst": "src"})
+    e = g.view(view)
+    swapped = {"src": "dst", "dst": "src"}
+    return e.select(*[F.col(swapped.get(c, c)).alias(c) for c in e.columns])
 
 
 def unmapped_edges(g: ProvGraph) -> DataFrame:
