@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph import queries, queries_edit, queries_io
+from provgraph import queries, queries_edit, queries_io, queries_select
 from provgraph.errors import InvalidOperationError, NodeNotFoundError
 from provgraph.graph import empty
 from provgraph.operators import edit, merge, metrics, schedule, select, validate
@@ -14,7 +14,7 @@ from provgraph.sources import formats
 from provgraph.sources.relational import activity_graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
-MINE = [n for n in queries.SQL if n in vars(queries_edit) or n in vars(queries_io)]
+MINE = [n for n in queries.SQL if any(n in vars(m) for m in (queries_edit, queries_io, queries_select))]
 
 
 def plain(v):
