@@ -64,12 +64,12 @@ def nodes_map(g):
     return by.select("node_id", F.size("records").alias("n_records"), F.array_join(F.array_sort(F.transform("records", lambda r: r["kind"])), " ").alias("kinds"))
 
 
-@query("order", _Z + "SELECT node_id, start_time, ordinal = min(ordinal) OVER () AS is_first FROM n WHERE type = 'MainActivity'")
+@query("order", _Z + "SELECT node_id, strftime(start_time, '%Y-%m-%d') AS start_day, ordinal = min(ordinal) OVER () AS is_first FROM n WHERE type = 'MainActivity'")
 def main_activities(g):
     """All main activities and which is the document's: the first by arrival."""
     first = select.main_activity(g).select(F.col("node_id").alias("first"))
     rows = select.main_activities(g).join(first, F.col("node_id") == F.col("first"), "left")
-    return rows.select("node_id", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("first").isNotNull().alias("is_first"))
+    return rows.select("node_id", F.date_format("start_time", "yyyy-MM-dd").alias("start_day"), F.col("first").isNotNull().alias("is_first"))
 
 
 def connectors(spark, sf_dir):
