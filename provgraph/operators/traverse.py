@@ -57,7 +57,7 @@ def find_paths(g: ProvGraph, pairs: DataFrame, max_nodes: int | None = None, rel
     e = materialize(_steps(g, relations, view).filter("src <> dst").distinct(), "path-edges")
     pairs = materialize(pairs.select("source", "target").distinct(), "path-pairs")
     ends = pairs.select(F.col("target").alias("node")).distinct()
-    able = fixpoint.reach(_reversed(e), ends).select(F.col("start").alias("goal"), F.col("node").alias("via"))
+    able = fixpoint.reach(_reversed(e), ends, max(1, max_nodes - 1) if max_nodes else None).select(F.col("start").alias("goal"), F.col("node").alias("via"))
     able = materialize(able.union(ends.select("node", "node")).distinct(), "path-able")
     walk = pairs.select("source", "target", F.array("source").alias("path"), F.col("source").alias("at"))
     done, length = pairs.filter("source = target").select("source", "target", F.array("source").alias("path")), 1
