@@ -170,17 +170,42 @@ def reversed_edges(g):
 # --- loading and copies ----------------------------------------------------------------------
 
 
-def load_records(spark, sf_dir):
-    """Records with repeated ids, of which the first by arrival stays, and relations to ids that no record declares."""
+def _scanned(spark, sf_dir) -> ProvGraph:
+    """Records with repeated ids of two kinds, and relations to parts, of which only the even ones are declared."""
     lines = _read(spark, sf_dir, "lineitem")
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     kinds = [node_rows(rows.filter(test), "bundle:lines", id_of("order", "l_orderkey"), kind, ordinal=F.col("l_linenumber")) for kind, test in (("activity", "l_linenumber % 2 = 1"), ("agent", "l_linenumber % 2 = 0"))]
+    parts = node_rows(_read(spark, sf_dir, "part").filter("p_partkey % 2 = 0"), "bundle:parts", id_of("part", "p_partkey"), "entity")
     edges = edge_rows(rows, "bundle:lines", "usage", id_of("order", "l_orderkey"), id_of("part", "l_partkey"), ordinal=F.col("l_linenumber"))
-    return graph_from(spark, all_of(*kinds), edges, dedupe=True).nodes.select("node_id", "kind", "is_placeholder")
+    return graph_from(spark, all_of(*kinds, parts), edges, dedupe=True)
+
+
+def load_records(spark, sf_dir):
+    """Of records with one id the first by arrival stays; ids that no record declares get a placeholder."""
+    return _scanned(spark, sf_dir).nodes.select("node_id", "kind", "is_placeholder")
+
+
+_LINES = "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber), d AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 2 = 0)\n"
+_plain(load_records, _LINES + """SELECT 'order:' || k AS node_id, CASE WHEN min(i) % 2 = 1 THEN 'activity' ELSE 'agent' END AS kind, false AS is_placeholder FROM l GROUP BY k
+UNION ALL SELECT 'part:' || p, 'entity', false FROM d UNION ALL SELECT DISTINCT 'part:' || p, 'unknown', true FROM l WHERE p NOT IN (SELECT p FROM d)""")
+
+
+def undeclared_ends(spark, sf_dir):
+    """Relations with an end that no record declares."""
+    return select.unmapped_edges(_scanned(spark, sf_dir)).select("arg1", "arg2", F.col("ordinal").alias("line"))
+
+
+_plain(undeclared_ends, _LINES + "SELECT 'order:' || k AS arg1, 'part:' || p AS arg2, i::BIGINT AS line FROM l WHERE p NOT IN (SELECT p FROM d)")
 
 
-_plain(load_records, """SELECT 'order:' || l_orderkey AS node_id, CASE WHEN min(l_linenumber) % 2 = 1 THEN 'activity' ELSE 'agent' END AS kind, false AS is_placeholder FROM lineitem GROUP BY l_orderkey
-UNION ALL SELECT DISTINCT 'part:' || p, 'unknown', true FROM (SELECT min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
+@query("order", """u AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM items WHERE l_partkey <> 7)
+SELECT 'supp:' || l_suppkey AS source, concat_ws(' ', 'supp:' || l_suppkey, 'item:' || l_orderkey || ':' || l_linenumber, 'part:7') AS path FROM items WHERE l_partkey = 7
+UNION ALL SELECT 'supp:' || x.l_suppkey, concat_ws(' ', 'supp:' || x.l_suppkey, 'item:' || x.l_orderkey || ':' || x.l_linenumber, 'part:' || p, 'order:' || o, 'item:' || y.l_orderkey || ':' || y.l_linenumber, 'part:7')
+  FROM items x JOIN u ON x.l_partkey = p JOIN items y ON y.l_orderkey = o AND y.l_partkey = 7""")
+def branching_paths(g):
+    """All simple paths of at most six nodes from every supplier to one part: over its items, or another part and an order that uses both."""
+    pairs = g.nodes.filter(F.col("node_id").startswith("supp:")).select(F.col("node_id").alias("source"), F.lit("part:7").alias("target"))
+    return traverse.find_paths(g, pairs, 6).select("source", F.array_join("path", " ").alias("path"))
 
 
 @query("order", _Z + "SELECT what, kind, count(*) - CASE WHEN what = 'edited' AND kind = 'agent' THEN 5 ELSE 0 END AS n_nodes FROM n, (VALUES ('original'), ('edited')) v(what) GROUP BY what, kind")
