@@ -261,11 +261,17 @@ def add_activity(g: ProvGraph, activity: str, used: Iterable[str] = (), generate
 
 
 def merge_duplicates(g: ProvGraph) -> ProvGraph:
-    """One record per node id: the first record, with the types of all."""
+    """One record per node id: the first record by arrival, its types first, then those of all others.
+
+    Records that arrive together go by their columns. Only distinct lists of types are gathered,
+    so an id may have any number of records.
+    """
+    own = ("bundle_id", "kind", "start_time", "end_time", "types")
     by = g.nodes.groupBy("node_id").agg(
-        *[F.min_by(c, F.col("ordinal")).alias(c) for c in ("bundle_id", "kind", "start_time", "end_time")],
-        F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.min("is_placeholder").alias("is_placeholder"), F.min("ordinal").alias("ordinal"),
+        F.min_by(F.struct(*own), F.struct("ordinal", *own)).alias("x"), F.collect_set("types").alias("all"),
+        F.min("is_placeholder").alias("is_placeholder"), F.min("ordinal").alias("ordinal"),
     )
+    by = by.select("node_id", *[f"x.{c}" for c in own[:-1]], F.array_distinct(F.concat("x.types", F.flatten(F.array_sort("all")))).alias("types"), "is_placeholder", "ordinal")
     return g.with_(nodes=by.select(g.nodes.columns), attrs=g.attrs.dropDuplicates(["record_id", "record_class", "name", "value", "value_type"]))
 
 
