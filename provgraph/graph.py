@@ -68,13 +68,13 @@ def empty(spark: SparkSession) -> ProvGraph:
 def graph_of(nodes: DataFrame, edges: DataFrame, attrs: DataFrame | None = None, namespaces: DataFrame | None = None, bundles: DataFrame | None = None, dedupe: bool = True) -> ProvGraph:
     """A graph from record scans.
 
-    Of records with one id the first by ``ordinal`` wins. Endpoints that no record declares get a
+    Of records with one id the first by ``ordinal`` wins, then by bundle and kind. Endpoints that no record declares get a
     placeholder node of kind ``unknown``. Relations that lack an endpoint yield no edge.
     """
     base = empty(nodes.sparkSession)
     kept = edges.filter("arg1 IS NOT NULL AND arg2 IS NOT NULL")
     if dedupe:
-        first = Window.partitionBy("node_id").orderBy("ordinal")
+        first = Window.partitionBy("node_id").orderBy("ordinal", "bundle_id", "kind")
         nodes = nodes.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     graph = ProvGraph(nodes, kept, base.attrs if attrs is None else attrs, base.namespaces if namespaces is None else namespaces, base.bundles if bundles is None else bundles)
     return graph.with_(nodes=nodes.unionByName(placeholders(graph)))
