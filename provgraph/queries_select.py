@@ -225,6 +225,25 @@ def subgraph_groupings(g):
     return _labelled(**rows).select("what", F.col("src").alias("cause"), F.col("dst").alias("effect"), "n_relations", F.array_join("relations", ",").alias("relations"))
 
 
+@query("order", """d AS (SELECT arg1 AS x FROM e WHERE relation = 'delegation' UNION SELECT arg2 FROM e WHERE relation = 'delegation')
+SELECT node_id, kind FROM n WHERE node_id NOT IN (SELECT x FROM d)""")
+def isolated_without_lines(g):
+    """What no relation holds once only delegations are left."""
+    return select.isolated_nodes(g.with_(edges=g.edges.filter("relation = 'delegation'"))).select("node_id", "kind")
+
+
+@query("order", _Z + """SELECT 'moved' AS what, 'bundle:one' AS bundle_id, kind, count(*) AS n_records FROM n GROUP BY kind UNION ALL SELECT 'moved', 'bundle:one', relation, count(*) FROM e GROUP BY relation
+UNION ALL SELECT 'added', 'usage', arg2, 1 FROM (VALUES ('region:1'), ('region:2')) v(arg2) UNION ALL SELECT 'added', 'generation', 'region:3', 1""")
+def bundle_edits(g):
+    """All records under another bundle id, a new activity with what it uses and makes, and a document that is cleared."""
+    count = lambda rows, kind: rows.groupBy("bundle_id", F.col(kind).alias("kind")).agg(F.count("*").alias("n_records"))
+    moved, gone = edit.set_bundle_id(g, "bundle:one"), edit.clear(g)
+    new = edit.add_activity(g, "act:new", ["region:1", "region:2"], ["region:3"]).edges.filter("'act:new' IN (arg1, arg2)")
+    added = new.select(F.col("relation").alias("bundle_id"), F.when(F.col("arg1") == "act:new", F.col("arg2")).otherwise(F.col("arg1")).alias("kind"), F.lit(1).cast("long").alias("n_records"))
+    moved_rows = count(moved.nodes, "kind").unionByName(count(moved.edges, "relation"))
+    return _labelled(moved=moved_rows, added=added, cleared=count(gone.nodes, "kind").unionByName(count(gone.edges, "relation")))
+
+
 # --- names and times -------------------------------------------------------------------------
 
 
