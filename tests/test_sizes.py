@@ -1,0 +1,43 @@
+"""What a query writes and how far its work grows, on small tables with odd rows."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from provgraph import graph, queries, queries_edit, queries_io, queries_select  # noqa: F401
+from provgraph.plans import scratch
+from provgraph.sources.relational import activity_graph, order_graph
+
+#: Queries that read the order graph once or twice; none of them needs a copy of it.
+ONCE = ("node_type_names", "collection_members", "single_edge", "graph_difference", "node_degrees", "subgraph_groupings", "influence_network", "degree_distribution", "anomalies", "unmapped_relations")
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_query_writes_no_copy_of_the_graph(spark, sf, name):
+    before = len(scratch._SCRATCH)
+    got = queries.QUERIES[name](spark, sf).count()
+    assert len(scratch._SCRATCH) == before
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert got == len(con.execute(queries.SQL[name]).fetchall())
+
+
+def test_missing_ends_are_those_that_all_edges_and_nodes_show(spark, sf, tmp_path):
+    """Keys without a row of their own, null ones among them, and a line whose odd part another line of its number hides."""
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"{sf}/{t}.parquet")
+        key = rows.columns[0]
+        if t in ("part", "supplier", "customer", "orders", "nation"):
+            rows = rows.filter(F.col(key) % 7 != 3)
+        if t == "lineitem":
+            odd = rows.limit(5).withColumns({"l_partkey": F.lit(10**9), "l_suppkey": F.lit(None).cast("long")})
+            rows = rows.union(odd.withColumn("l_partkey", F.lit(10**9 + 1))).union(odd.withColumn("l_linenumber", F.lit(99)))
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    g = order_graph(spark, str(tmp_path))
+    declared = g.with_(nodes=g.nodes.filter("NOT is_placeholder"))
+    rows = lambda n: sorted((r.node_id, r.kind, r.ordinal) for r in n.collect())
+    want = rows(graph.placeholders(declared))
+    assert rows(g.nodes.filter("is_placeholder")) == want and len(want) > 100 and ("part:1000000001", "unknown", 0) not in want
+    a = activity_graph(spark, sf)
+    assert graph.placeholders(a).isEmpty()
