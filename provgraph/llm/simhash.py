@@ -168,9 +168,11 @@ def _forest(fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): one root per connected component."""
+    """(node, root) of every node of ``edges`` (a, b): the least node of each connected component is its root."""
     member = contract(edges)
-    return member if member is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    if member is not None:
+        return member.join(member.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
 def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

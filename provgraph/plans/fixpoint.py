@@ -6,12 +6,17 @@ costs one round. Rounds stop when a round finds nothing new, which the driver se
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import discard, materialize
 
 
+#: So many links are joined on the driver (16 bytes each) at the end of ``contract``, where rounds cost more than work.
+FEW = 100_000
+
+
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): what each start reaches along (src, dst); depth is the least number of steps.
 
@@ -84,31 +89,40 @@ def shortest_counts(edges: DataFrame) -> DataFrame:
 
 
 def contract(links: DataFrame) -> DataFrame | None:
-    """(node, root) of every node of ``links`` (a, b): one root per connected component; None without links.
+    """(node, root) of every node of ``links`` (a, b), long numbers: one root per connected component; None without links.
 
-    Each round, every node moves to the neighbour (or itself) with the least hash of that round;
-    links between nodes that moved apart go on, until none is left. Hashes differ from round to
-    round, so a long chain shrinks by a constant factor each time. A round's tables go when the
-    next is written.
+    Each round gives all nodes new numbers by a hash of that round, which maps no two to one; every
+    node moves to the least number among its neighbours' and its own. Links between nodes that moved
+    apart go on, until none is left. Hashes differ from round to round, so a long chain shrinks by a
+    constant factor each time. Numbers have a fixed width, so that a round sums up in hash tables
+    instead of sorting. A round's tables go when the next is written.
     """
-    links = materialize(links.select("a", "b").filter("a <> b"), "links")
+    links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "links")
     member = None
     turn = 0
-    while not links.isEmpty():
+    while (left := links.count()):
+        if left <= FEW:
+            parent = _joined(links)
+            if member is not None:
+                step = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
+                parent = member.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            before, member = member, materialize(parent, "link-members")
+            discard(before)
+            break
         turn += 1
 
-        def rank(c: str) -> Column:
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("node"))  # noqa: B023
+        def new(c: str) -> Column:
+            return F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023  a permutation of the long numbers
 
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(rank("b")).alias("least"))
-        parent = materialize(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("root")), "link-parents")
+        least = both.groupBy("a").agg(F.min(new("b")).alias("least"))
+        parent = materialize(least.select(F.col("a").alias("node"), F.least(new("a"), F.col("least")).alias("root")), "link-parents")
         before = member
         if before is None:
             member = parent
         else:
             step = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            member = materialize(before.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "link-members")
+            member = materialize(before.join(step, "root", "left").select("node", F.coalesce("next", new("root")).alias("root")), "link-members")
         ends = [parent.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
         moved = links.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
         apart = materialize(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
@@ -118,15 +132,54 @@ def contract(links: DataFrame) -> DataFrame | None:
     return member
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, root) of at most ``FEW`` links, joined on the driver; a root is one of the numbers."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for a, b in zip(*(c.to_pylist() for c in links.select("a", "b").toArrow().columns), strict=True):
+        up[top(a)] = top(b)
+    rows = pa.table({"node": pa.array(list(up), pa.int64()), "root": pa.array([top(x) for x in list(up)], pa.int64())})
+    return links.sparkSession.createDataFrame(rows)
+
+
+def number_of(node: Column | str, seed: int = 0) -> Column:
+    """A long number for a node id: a hash, so ``numbered`` looks for ids that share one."""
+    return F.xxhash64(F.lit(seed), node)
+
+
+def numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(number, n_rows) per id of ``nodes`` (node), and a seed at which ``number_of`` tells all ids apart.
+
+    Two ids under one number have different hashes of another seed, but with a chance of 2^-64; then
+    the next seed is tried.
+    """
+    seed = 0
+    while True:
+        by = nodes.groupBy(number_of("node", seed).alias("number")).agg(F.count("*").alias("n_rows"), F.min(F.xxhash64("node", F.lit(seed))).alias("low"), F.max(F.xxhash64("node", F.lit(seed))).alias("high"))
+        found = materialize(by.select("number", "n_rows", (F.col("low") != F.col("high")).alias("shared")), "numbers")
+        if found.filter("shared").isEmpty():
+            return found.select("number", "n_rows"), seed
+        seed += 1
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): weakly connected, named by the least node; nodes without edges are their own."""
-    member = contract(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    alone = nodes.select("node")
+    ends = edges.select("src", "dst").filter("src <> dst")
+    _, seed = numbered(nodes.select("node").union(ends.select(F.explode(F.array("src", "dst")))))
+    member = contract(ends.select(number_of("src", seed).alias("a"), number_of("dst", seed).alias("b")))
     if member is None:
-        return alone.select("node", F.col("node").alias("component"))
-    named = member.groupBy("root").agg(F.min("node").alias("component"))
-    found = member.join(named, "root").select(F.col("node").alias("_node"), "component")
-    return alone.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
+        return nodes.select("node", F.col("node").alias("component"))
+    known = nodes.select("node", number_of("node", seed).alias("number"))
+    placed = known.join(member.select(F.col("node").alias("number"), "root"), "number", "left")
+    linked = ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    named = linked.join(member.select(F.col("node").alias("number"), "root"), number_of(linked.node, seed) == F.col("number")).groupBy(F.col("root").alias("_root")).agg(F.min("node").alias("component"))
+    return placed.join(named, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def chase(parents: DataFrame) -> DataFrame:

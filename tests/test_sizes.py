@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from provgraph import graph, queries, queries_edit, queries_io, queries_select  # noqa: F401
-from provgraph.operators import traverse
-from provgraph.plans import scratch
+from provgraph.operators import metrics, traverse
+from provgraph.plans import fixpoint, scratch
 from provgraph.sources.relational import activity_graph, order_graph
 
 #: Queries that read the order graph once or twice; none of them needs a copy of it.
@@ -79,3 +79,25 @@ def test_undirected_paths_join_half_ways(spark):
     hub = [(f"{k}{i}", "hub") for k in "st" for i in range(2500)]
     some = spark.createDataFrame([(f"s{i}", f"t{j}") for i in range(250) for j in range(400)], "source string, target string")
     assert traverse.undirected_paths(_graph(spark, hub), some).count() == 100_000
+
+
+def test_complexity_counts_from_numbers(spark, monkeypatch):
+    """Loops, parallel and opposite edges, doubled records and lone nodes; ids that share a number get another seed."""
+    edges = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("d", "e"), ("e", "f")]
+    real = fixpoint.number_of
+    monkeypatch.setattr(fixpoint, "number_of", lambda node, seed=0: real(node, seed) % 3 if seed == 0 else real(node, seed))
+    r = metrics.complexity(_graph(spark, edges, ["z"], ["a"])).first()
+    assert (r.node_count, r.edge_count, r.component_count) == (8, 6, 4) and r.average_degree == pytest.approx((2 * 2 + 2 + 1 + 2 + 1) / 8)
+    empty = metrics.complexity(graph.empty(spark)).first()
+    assert (empty.node_count, empty.edge_count, empty.component_count, empty.average_degree) == (0, 0, 0, 0.0)
+    assert metrics.complexity(_graph(spark, [], ["x", "y"])).first().component_count == 2
+    star = [(7, i) for i in range(10, 400)] + [(1, 2), (2, 3)]
+    for few in (0, 5, 1000):
+        monkeypatch.setattr(fixpoint, "FEW", few)
+        found = fixpoint.contract(spark.createDataFrame(star, "a long, b long")).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.root, set()).add(r.node)
+        assert sorted(map(len, groups.values())) == [3, 391]
+    chain = _graph(spark, [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("p", "q")], ["z"])
+    assert dict(traverse.connected_components(chain).groupBy("component").count().collect()) == {"n000": 61, "p": 2, "z": 1}
