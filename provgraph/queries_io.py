@@ -155,8 +155,8 @@ def _jsonld(spark, sf_dir) -> DataFrame:
     """(doc, value): a JSON-LD graph per order; its customer receives, its parts are used, its items come of them."""
     orders, lines = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
     ref = lambda c: F.transform(F.array_sort(c), lambda x: F.create_map(F.lit("@id"), x))
-    part, item = F.concat(F.lit("x:part"), F.col("l_partkey").cast("string")), F.concat(F.lit("x:item"), F.col("l_linenumber").cast("string"))
-    by = lines.groupBy("l_orderkey").agg(F.collect_set(part).alias("parts"), F.collect_set(item).alias("items"))
+    named = lambda p, c: F.transform(F.collect_set(c), lambda k: F.concat(F.lit(p), k.cast("string")))
+    by = lines.groupBy("l_orderkey").agg(named("x:part", "l_partkey").alias("parts"), named("x:item", "l_linenumber").alias("items"))
     t = orders.join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("parts", "items")})
     key, some = F.col("o_orderkey").cast("string"), lambda c: F.when(F.size(c) > 0, ref(F.col(c)))
     put = lambda **k: F.to_json(F.struct(*[v.alias(n.replace("__", ":").replace("at_", "@")) for n, v in k.items()]))

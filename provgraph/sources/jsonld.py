@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import ProvGraph
 from .build import all_of, attr_rows, edge_rows, graph_from, node_rows
-from .template import parse_templates
+from .template import templates_from
 
 _MAP = "map<string, string>"
 # Categories in the order in which they are tried, and the words that make them.
@@ -36,6 +36,12 @@ def _refs(raw: Column) -> Column:
     return F.filter(F.transform(_list(raw), ref), lambda x: x.isNotNull() & (x != ""))
 
 
+def _context(raw: Column) -> Column:
+    """The contexts of a list, merged into one map."""
+    parts = F.transform(F.filter(_list(raw), lambda x: x.startswith("{")), lambda x: F.map_filter(F.from_json(x, _MAP), lambda k, v: ~v.startswith("{")))
+    return F.aggregate(parts, F.create_map().cast(_MAP), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(x, k)), x))
+
+
 def nodes_of(texts: DataFrame) -> DataFrame:
     """(doc, bundle_id, context, place, types, m) per node of the ``@graph`` of rows (doc, value).
 
@@ -46,9 +52,7 @@ def nodes_of(texts: DataFrame) -> DataFrame:
     graph = graph.withColumn("m", F.from_json("raw", _MAP))
     inner = graph.filter(_key("m", "@graph").isNotNull()).select("doc", _key("m", "@id").alias("bundle_id"), "context", F.posexplode(_list(_key("m", "@graph"))).alias("place", "raw")).withColumn("m", F.from_json("raw", _MAP))
     both = graph.filter(_key("m", "@graph").isNull()).unionByName(inner)
-    parts = F.transform(F.filter(_list(F.col("context")), lambda x: x.startswith("{")), lambda x: F.map_filter(F.from_json(x, _MAP), lambda k, v: ~v.startswith("{")))
-    context = F.aggregate(parts, F.create_map().cast(_MAP), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(x, k)), x))
-    return both.select("doc", "bundle_id", context.alias("context"), "place", _list(_key("m", "@type")).alias("types"), "m")
+    return both.select("doc", "bundle_id", _context(F.col("context")).alias("context"), "place", _list(_key("m", "@type")).alias("types"), "m")
 
 
 def categories(nodes: DataFrame) -> DataFrame:
@@ -59,25 +63,34 @@ def categories(nodes: DataFrame) -> DataFrame:
 
 
 def jsonld_templates(texts: DataFrame) -> DataFrame:
-    """A template per document: its first activity, what that uses and generates, and its agents."""
-    nodes = nodes_of(texts)
-    is_ = lambda word: F.exists("types", lambda t: t.contains(word))
-    first = nodes.filter(is_("Activity")).groupBy("doc").agg(F.min_by("m", "place").alias("a"))
-    sources = F.filter(F.transform(_list(_key("m", "prov:wasDerivedFrom")), lambda x: F.when(x.startswith("{"), F.from_json(x, _MAP)["@id"]).otherwise(x)), lambda x: x.isNotNull())
-    made_id = F.concat(F.lit("gen:"), F.substring(F.md5(F.to_json("m")), 1, 8))
-    entities = nodes.filter(is_("Entity")).select("doc", "place", F.coalesce(_key("m", "@id"), made_id).alias("id"), sources.alias("derived"), F.map_contains_key("m", "prov:wasUsedBy").alias("b1"), F.map_contains_key("m", "used").alias("b2"), F.map_contains_key("m", "prov:wasGeneratedBy").alias("f1"), F.map_contains_key("m", "generated").alias("f2"))
-    per = entities.groupBy("doc").agg(
-        F.array_sort(F.collect_list(F.struct("place", "id", "derived"))).alias("known"),
-        F.array_sort(F.collect_list(F.when(F.col("b1") | F.col("b2"), F.struct("place", "id", "derived")))).alias("back"),
-        F.array_sort(F.collect_list(F.when(~(F.col("b1") | F.col("b2")) & (F.col("f1") | F.col("f2")), F.struct("place", "id", "derived")))).alias("front"),
-    )
-    docs = texts.select("doc", F.from_json("value", _MAP).alias("d")).select("doc", F.coalesce(_key("d", "@id"), F.lit("embrc:bundle")).alias("name"))
-    context = nodes.groupBy("doc").agg(F.first("context").alias("context"))
-    t = docs.join(context, "doc", "left").join(first, "doc", "left").join(per, "doc", "left")
+    """A template per document: its first activity, what that uses and generates, and its agents.
+
+    A document is a row from its text to its template, so nothing is shuffled.
+    """
+    top = texts.select(F.from_json("value", _MAP).alias("d"))
+    maps = lambda raw: F.transform(_list(raw), lambda x, i: F.named_struct(F.lit("place"), i, F.lit("m"), F.from_json(x, _MAP)))
+    t = top.select(F.coalesce(_key("d", "@id"), F.lit("embrc:bundle")).alias("name"), _key("d", "@context").alias("raw_context"), maps(_key("d", "@graph")).alias("graph"))
+    has_graph = lambda n: _key(n["m"], "@graph").isNotNull()
+    inner = F.flatten(F.transform(F.filter("graph", has_graph), lambda n: maps(_key(n["m"], "@graph"))))
+    by_place = lambda nodes: F.array_sort(nodes, lambda x, y: x["place"] - y["place"])
+    nodes = F.when(F.exists("graph", has_graph), by_place(F.concat(F.filter("graph", lambda n: ~has_graph(n)), inner))).otherwise(F.col("graph"))
+    t = t.select("name", "raw_context", F.transform(nodes, lambda n: F.named_struct(F.lit("place"), n["place"], F.lit("m"), n["m"], F.lit("types"), _list(_key(n["m"], "@type")))).alias("nodes"))
+    of_type = lambda word: F.filter("nodes", lambda n: F.exists(n["types"], lambda t: t.contains(word)))
+
+    def entity(n: Column) -> Column:
+        m = n["m"]
+        made_id = F.concat(F.lit("gen:"), F.substring(F.md5(F.to_json(m)), 1, 8))
+        derived = F.filter(F.transform(_list(_key(m, "prov:wasDerivedFrom")), lambda x: F.when(x.startswith("{"), F.from_json(x, _MAP)["@id"]).otherwise(x)), lambda x: x.isNotNull())
+        has = lambda *names: reduce(lambda a, b: a | b, [F.map_contains_key(m, k) for k in names])
+        return F.named_struct(F.lit("place"), n["place"], F.lit("id"), F.coalesce(_key(m, "@id"), made_id), F.lit("derived"), derived, F.lit("used"), has("prov:wasUsedBy", "used"), F.lit("made"), has("prov:wasGeneratedBy", "generated"))
+
+    context = F.when(F.size("nodes") > 0, _context(F.col("raw_context")))
+    t = t.select("name", context.alias("context"), F.get(of_type("Activity"), F.lit(0))["m"].alias("a"), F.transform(of_type("Entity"), entity).alias("known"))
+    t = t.withColumns({"back": F.filter("known", lambda e: e["used"]), "front": F.filter("known", lambda e: ~e["used"] & e["made"])})
 
     refs = lambda *names: F.array_distinct(F.concat(*[_refs(_key("a", n)) for n in names]))
     used, made = refs("prov:used", "used", "object"), refs("prov:generated", "generated", "result")
-    derived_of = lambda i: F.get(F.filter(F.coalesce("known", F.array().cast("array<struct<place: int, id: string, derived: array<string>>>")), lambda e: e["id"] == i), F.lit(0))["derived"]
+    derived_of = lambda i: F.get(F.filter("known", lambda e: e["id"] == i), F.lit(0))["derived"]
     entry = lambda i, d: F.named_struct(F.lit("id"), i, F.lit("derivedFrom"), F.when(F.size(d) > 0, d))
     of_refs = lambda ids: F.transform(ids, lambda i: entry(i, derived_of(i)))
     of_list = lambda c: F.transform(c, lambda e: entry(e["id"], e["derived"]))
@@ -89,7 +102,7 @@ def jsonld_templates(texts: DataFrame) -> DataFrame:
     t = t.withColumns({"receivers": agents(role), "senders": agents(lambda m: ~role(m))})
     t = t.withColumn("senders", F.array_distinct(F.concat("senders", F.array_except(F.array_except(_refs(_key("a", "prov:wasAssociatedWith")), "receivers"), "senders"))))
     nonempty = lambda c: F.when(F.size(c) > 0, c)
-    value = F.to_json(F.struct(
+    return templates_from(t.select(
         F.col("context").alias("prefixes"), F.col("name").alias("bundleName"),
         F.struct(
             F.coalesce(_key("a", "@id"), F.lit("embrc:mainActivity")).alias("id"), F.coalesce(_key("a", "prov:startedAtTime"), _key("a", "startTime")).alias("startTime"), F.coalesce(_key("a", "prov:endedAtTime"), _key("a", "endTime")).alias("endTime"),
@@ -98,7 +111,6 @@ def jsonld_templates(texts: DataFrame) -> DataFrame:
         nonempty(F.when(neither, of_list(F.col("back"))).otherwise(of_refs(F.col("used")))).alias("backwardConnectors"), nonempty(F.when(neither, of_list(F.col("front"))).otherwise(of_refs(F.col("made")))).alias("forwardConnectors"),
         nonempty(F.transform("senders", lambda i: F.named_struct(F.lit("id"), i))).alias("senderAgents"), nonempty(F.transform("receivers", lambda i: F.named_struct(F.lit("id"), i))).alias("receiverAgents"),
     ))
-    return parse_templates(t.select(value.alias("value")))
 
 
 def storage_bundles(texts: DataFrame) -> ProvGraph:

@@ -170,3 +170,19 @@ def test_graph_tables_round_trip(spark, full, tmp_path):
     export.write_graph(g, str(tmp_path / "g"))
     edges = spark.read.parquet(str(tmp_path / "g/edges"))
     assert edges.filter("relation = 'usage'").count() == 2 and export.dot_lines(g).count() == 20
+
+
+def test_jsonld_templates_shuffle_nothing_and_pair_no_documents(spark):
+    """Two documents under one name stay two templates; an opened bundle's nodes come by their place; the plan has no exchange."""
+    docs = [
+        ("same", {"@id": "x:one", "@graph": [{"@id": "x:e", "@type": "Entity", "prov:wasDerivedFrom": [{"@id": "x:d"}]}, {"@id": "x:a1", "@type": "Activity", "used": ["x:e", "x:f"]}]}),
+        ("same", {"@id": "x:one", "@context": [{"p": "q"}], "@graph": [{"@id": "x:in", "@type": "Bundle", "@graph": [{"@id": "x:a2", "@type": ["Activity"]}]}, {"@id": "x:a3", "@type": "Activity"}]}),
+        ("none", {"@id": "x:none"}),
+    ]
+    texts = spark.createDataFrame([(d, json.dumps(v)) for d, v in docs], "doc string, value string")
+    t = jsonld.jsonld_templates(texts)
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+    rows = templates.full_pipeline(texts, "embrc").collect()
+    assert sorted((r.bundleName, r.mainActivity.id, [(b.id, b.derivedFrom) for b in r.backwardConnectors], r.prefixes, r.quality.backward_connectors) for r in rows) == [
+        ("x:none", "embrc:mainActivity", [], {}, 0), ("x:one", "x:a1", [("x:e", ["x:d"]), ("x:f", None)], {}, 2), ("x:one", "x:a2", [], {"p": "q"}, 0),
+    ]
