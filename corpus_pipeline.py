@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with 5-word Jaccard >= 0.8 stays: the one with the least id.
 
-    Candidates come from MinHash bands, as four SimHash bits find few pairs at that similarity (see
-    the README). Texts without a word are alike; null ids come last; of repeated rows one stays. An
+    Candidates have SimHash fingerprints at most four bits apart, as in ``op8_simhash``; as these find few pairs at
+    that similarity, MinHash bands give further ones (see the README). All are verified on their shingles. Texts without a word are alike; null ids come last; of repeated rows one stays. An
     empty table stays empty.
     """
     return jaccard.drop_similar(docs)

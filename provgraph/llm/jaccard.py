@@ -1,5 +1,7 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash bands, then exact sets.
+"""Near duplicates by SimHash and MinHash candidates, verified by Jaccard similarity of word shingles.
 
+Texts whose SimHash fingerprints ``simhash.py`` links are candidates. Few texts at similarity 0.8 are that close, so
+MinHash bands look for the rest.
 Texts whose MinHash agrees in all rows of a band are candidates; two texts at similarity 0.8 miss
 each other in all 32 bands of 5 rows three times in a million. Copies collapse first. Candidates
 are verified on their whole shingle sets (64-bit hashes): pair by pair in short runs; a long run is
@@ -66,7 +68,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(k, 512)
             found = [words_of(t) for t in part.column(2).to_pylist()]
             keys = [band_keys(shingles(w)) for w in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([text_key(w) for w in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "fp", "keys"])
+            sim = np.array([simhash.fingerprint(t) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([text_key(w) for w in found], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sim)], ["id", "row", "fp", "keys", "sim"])
 
 
 def _forest(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -94,19 +97,21 @@ def _forest(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, in
                 left, flat = left[~close], None
 
 
-def links(texts: DataFrame, own: DataFrame, similarity: float = SIMILARITY, short: int = SHORT, tile: int = TILE) -> DataFrame:
+def links(texts: DataFrame, own: DataFrame, similarity: float = SIMILARITY, short: int = SHORT, tile: int = TILE, more: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b) of similar texts that connect what is connected.
 
-    ``own`` has a row (fp, row, keys) per distinct text, ``texts`` has (row, text). Only texts
-    that share a key with another are fetched.
+    ``own`` has a row (fp, row, keys) per distinct text, ``texts`` has (row, text); ``more`` has further
+    candidates (a, b), a < b. Only texts that share a key with another, or are in ``more``, are fetched.
     """
     keyed = own.select("fp", F.posexplode("keys").alias("band", "key"))
     counts = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     rows = materialize(keyed.join(counts, ["band", "key"]), "jaccard-runs")
-    wanted = materialize(own.select("fp", "row").join(rows.select("fp").distinct(), "fp", "left_semi"), "jaccard-wanted")
+    either = rows.select("fp") if more is None else rows.select("fp").union(more.select(F.explode(F.array("a", "b"))))
+    wanted = materialize(own.select("fp", "row").join(either.distinct(), "fp", "left_semi"), "jaccard-wanted")
     needed = materialize(texts.join(wanted, "row").groupBy("fp").agg(F.first("text").alias("text")), "jaccard-texts")
     runs = rows.filter(F.col("n") <= short).groupBy("band", "key").agg(F.collect_set("fp").alias("x"))
-    pairs = runs.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a < b").distinct()
+    pairs = runs.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a < b")
+    pairs = (pairs if more is None else pairs.union(more.select("a", "b"))).distinct()
     pairs = pairs.join(needed.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(needed.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +153,31 @@ def links(texts: DataFrame, own: DataFrame, similarity: float = SIMILARITY, shor
     return found.union(crowd.select("band", "key", "i", "j", "fp", "text").mapInPandas(run, "a long, b long")).distinct()
 
 
-def drop_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def simhash_pairs(own: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
+    """(a, b), a < b, of texts whose fingerprints (``sim`` of ``own``, beside fp) SimHash links, or are equal.
+
+    Of texts with one fingerprint the one with the least fp stands for it, and is paired with the others.
+    """
+    first = own.groupBy(F.col("sim").alias("s")).agg(F.min("fp").alias("first"))
+    end = lambda c: first.select(F.col("s").alias(c), F.col("first").alias(f"first_{c}"))
+    near = simhash.links(first.select(F.col("s").alias("fp")), distance).join(end("a"), "a").join(end("b"), "b").select("first_a", "first_b")
+    same = own.join(first, F.col("sim") == F.col("s")).filter("fp <> first").select("first", "fp")
+    x, y = F.col("first_a"), F.col("first_b")
+    return near.union(same).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, distance: int = simhash.DISTANCE) -> DataFrame:
     """``docs`` with one document of each component of similar texts: the one with the least id, null ids last.
 
-    Texts without a word, null among them, are alike. Of rows that share the id, the one with the
-    least MD5 of id and text stays, once. Columns are those of ``docs``, whatever they are called.
-    An empty table gives an empty table.
+    Candidates have SimHash fingerprints at most ``distance`` bits apart, or a MinHash band in common. Texts without
+    a word, null among them, are alike. Of rows that share the id, the one with the least MD5 of id and text stays,
+    once. Columns are those of ``docs``, whatever they are called. An empty table gives an empty table.
     """
     keyed = simhash.row_keyed(docs)
-    rows = materialize(keyed.select("id", "row", "text").mapInArrow(_keys, "id long, row string, fp long, keys array<long>"), "jaccard-rows")
-    own = rows.groupBy("fp").agg(F.first("keys").alias("keys"), F.min("row").alias("row"))
+    rows = materialize(keyed.select("id", "row", "text").mapInArrow(_keys, "id long, row string, fp long, keys array<long>, sim long"), "jaccard-rows")
+    own = rows.groupBy("fp").agg(F.first("keys").alias("keys"), F.min("row").alias("row"), F.min("sim").alias("sim"))
     own = materialize(own, "jaccard-own")
-    member = simhash.components(links(keyed.select("row", "text"), own, similarity))
-    found = rows.drop("keys").join(member, rows.fp == member.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    more = materialize(simhash_pairs(own.select("fp", "sim"), distance), "jaccard-simhash")
+    member = simhash.components(links(keyed.select("row", "text"), own, similarity, more=more))
+    found = rows.drop("keys", "sim").join(member, rows.fp == member.node, "left").withColumn("root", F.coalesce("root", "fp"))
     return simhash.one_of_each(keyed, found)

@@ -82,3 +82,19 @@ def test_links_of_a_crowd(spark, tile):
     own = texts.select("fp", "row", F.array(F.lit(0).cast("long")).alias("keys"))
     member = simhash.components(jaccard.links(texts.select("row", "text"), own, tile=tile)).toPandas()
     assert len(member) == 40 and member.root.nunique() == 1
+
+
+def test_simhash_pairs_are_candidates_without_a_band_in_common(spark):
+    """No two texts share a key here: what SimHash links is still found, if its shingles are similar."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 900)]
+    repeated = [" ".join(words[:11] * 400 + [f"x{k}y{i}" for i in range(40)]) for k in range(2)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), *repeated, "one of its own"]
+    sims = [simhash.fingerprint(t) for t in texts]
+    assert all((sims[k] ^ sims[k + 1]).bit_count() <= simhash.DISTANCE for k in (0, 2))
+    rows = [(k, str(k), [k], s - (1 << 64) if s >> 63 else s) for k, s in enumerate(sims)] + [(9, "9", [9], sims[4] - (1 << 64) if sims[4] >> 63 else sims[4])]
+    own = spark.createDataFrame(rows, "fp long, row string, keys array<long>, sim long")
+    more = jaccard.simhash_pairs(own.select("fp", "sim"))
+    assert {tuple(r) for r in more.collect()} == {(0, 1), (2, 3), (4, 9)}
+    found = jaccard.links(spark.createDataFrame([*((str(k), t) for k, t in enumerate(texts)), ("9", texts[4])], "row string, text string"), own, more=more)
+    assert {tuple(r) for r in found.collect()} == {(0, 1), (4, 9)}
