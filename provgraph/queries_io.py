@@ -68,7 +68,7 @@ def _documents(rows: DataFrame, wrap: str) -> DataFrame:
 
 def json_round_trip(spark, sf_dir):
     """PROV-JSON, a document per bundle."""
-    one = export.json_records(_bundles(spark, sf_dir))
+    one = export.json_records(_bundles(spark, sf_dir)).repartition("bundle_id")  # both groupings below are within it
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))  # noqa: E731  ids and sections need no escapes here
     section = one.groupBy("bundle_id", "section").agg(F.array_join(F.collect_list(F.concat(quoted("id"), F.lit(":"), F.col("record"))), ",").alias("body"))
     docs = _documents(section.select("bundle_id", F.concat(quoted("section"), F.lit(":{"), "body", F.lit("}")).alias("part")), '{"prefix":{"ex":"http://example.org/ex/"},"bundle":{"DOC":{BODY}}}')

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.names import resolve
+from ..functions.names import qualified, resolve
 from ..graph import ProvGraph, empty, graph_of
 from ..plans.scratch import materialize
 
@@ -40,20 +40,37 @@ def records_graph(records: DataFrame, namespaces: DataFrame) -> ProvGraph:
     edge_id = F.coalesce(F.when(~F.col("id").startswith("_:"), F.col("id")), F.concat_ws("|", "what", "arg1", "arg2"))
     edges = relations.select("bundle_id", edge_id.alias("edge_id"), F.col("what").alias("relation"), "arg1", "arg2", "ordinal")
 
-    declared = records.filter("is_node")
-    types = declared.select("id", "bundle_id", "what", F.explode(F.filter("attrs", lambda a: a["name"] == "prov:type")).alias("a")).select("id", "bundle_id", "what", F.col("a.value").alias("t")).distinct()
-    qualified = resolve(types, "t", namespaces).groupBy(F.col("id").alias("_i"), F.col("bundle_id").alias("_b"), F.col("what").alias("_w")).agg(F.array_sort(F.collect_set("t_qname")).alias("types"))
-    both = declared.join(qualified, (F.col("id") == F.col("_i")) & F.col("bundle_id").eqNullSafe(F.col("_b")) & (F.col("what") == F.col("_w")), "left")
-    nodes = both.select(
-        "bundle_id", F.col("id").alias("node_id"), F.col("what").alias("kind"), F.coalesce("types", F.array().cast(f"array<{S.TYPE}>")).alias("types"),
-        F.try_to_timestamp("start_time").alias("start_time"), F.try_to_timestamp("end_time").alias("end_time"), F.lit(False).alias("is_placeholder"), "ordinal",
+    known = namespaces.unionByName(empty(spark).namespaces).dropDuplicates(["prefix"])
+    typed = F.transform(F.filter("attrs", lambda a: a["name"] == "prov:type"), lambda a: a["value"])
+    whole = records.filter("is_node").select("id", F.struct("ordinal", "bundle_id", "what", "start_time", "end_time", typed.alias("names")).alias("r"))
+    # of the records of an id the first stays, with the types of all that are alike in bundle and kind
+    by = whole.groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("all")).select("id", F.get("all", F.lit(0)).alias("r"), "all")
+    alike = F.filter("all", lambda x: x["bundle_id"].eqNullSafe(F.col("r.bundle_id")) & (x["what"] == F.col("r.what")))
+    by = by.select("id", "r", F.array_distinct(F.flatten(F.transform(alike, lambda x: x["names"]))).alias("names"))
+    nodes = _qualified_types(by, known).select(
+        F.col("r.bundle_id").alias("bundle_id"), F.col("id").alias("node_id"), F.col("r.what").alias("kind"), "types",
+        F.try_to_timestamp("r.start_time").alias("start_time"), F.try_to_timestamp("r.end_time").alias("end_time"), F.lit(False).alias("is_placeholder"), F.col("r.ordinal").alias("ordinal"),
     )
     owner = F.when(F.col("is_node"), F.col("id")).otherwise(edge_id)
     attrs = records.select(owner.alias("record_id"), F.when(F.col("is_node"), F.lit("node")).otherwise(F.lit("edge")).alias("record_class"), F.posexplode("attrs").alias("k", "a"))
     attrs = attrs.select("record_id", "record_class", "a.name", "a.value", "a.value_type", F.col("k").cast("long").alias("ordinal"))
     bundles = records.select("bundle_id").filter("bundle_id IS NOT NULL").distinct()
-    known = namespaces.unionByName(empty(spark).namespaces).dropDuplicates(["prefix"])
-    return graph_of(nodes, edges, attrs, known, bundles)
+    return graph_of(nodes, edges, attrs, known, bundles, dedupe=False)
+
+
+#: So many namespaces are looked up within a row; with more, they are joined.
+FEW_NAMESPACES = 1000
+
+
+def _qualified_types(rows: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """``rows`` (id, r, names) with ``types``: the distinct qualified names, sorted."""
+    few = namespaces.limit(FEW_NAMESPACES + 1).collect()
+    if len(few) <= FEW_NAMESPACES:
+        pairs = [F.lit(x).cast("string") for n in few if n.prefix is not None for x in (n.prefix, n.uri)]
+        uris = F.create_map(*pairs) if pairs else F.create_map().cast("map<string, string>")
+        return rows.withColumn("types", F.array_sort(F.array_distinct(F.transform("names", lambda n: qualified(n, lambda p: F.try_element_at(uris, p))))))
+    each = resolve(rows.select("id", F.explode("names").alias("t")), "t", namespaces).groupBy(F.col("id").alias("_i")).agg(F.array_sort(F.collect_set("t_qname")).alias("types"))
+    return rows.join(each, F.col("id") == F.col("_i"), "left").withColumn("types", F.coalesce("types", F.array().cast(f"array<{S.TYPE}>")))
 
 
 # --- PROV-JSON -------------------------------------------------------------------------------
@@ -76,32 +93,35 @@ def _value_type(raw: Column) -> Column:
 
 
 def _content_records(parts: DataFrame) -> DataFrame:
-    """(doc, bundle_id, content map of section -> JSON text) -> record rows."""
-    verbs = {r.verb: r.name for r in S.RELATIONS.values()} | {k: k for k in KINDS}
+    """(doc, bundle_id, content map of section -> JSON text) -> record rows; prefixes are records of ``namespace``."""
+    verbs = {r.verb: r.name for r in S.RELATIONS.values()} | {k: k for k in KINDS} | {"prefix": "namespace"}
     section = parts.select("doc", "bundle_id", F.explode("content").alias("section", "raw")).filter(F.col("section").isin(*verbs))
     what = reduce(lambda rest, v: F.when(F.col("section") == v[0], F.lit(v[1])).otherwise(rest), verbs.items(), F.lit(None).cast("string"))
     one = section.select("doc", "bundle_id", what.alias("what"), F.posexplode(F.from_json("raw", _MAP)).alias("place", "id", "raw"))
-    rows = one.select("doc", "bundle_id", "what", "id", F.col("place").cast("long").alias("place"), F.explode(_list(F.col("raw"))).alias("raw")).withColumn("m", F.from_json("raw", _MAP))
+    rows = one.select("doc", "bundle_id", "what", "id", F.col("place").cast("long").alias("place"), F.explode(F.when(F.col("what") == "namespace", F.array("raw")).otherwise(_list(F.col("raw")))).alias("raw")).withColumn("m", F.from_json("raw", _MAP))
     args = []
     for k in (0, 1):
         key = reduce(lambda rest, v, k=k: F.when(F.col("what") == v[0], F.lit(f"prov:{v[1][k]}")).otherwise(rest), FORMAL.items(), F.lit(None).cast("string"))
         args.append(F.when(key.isNotNull(), F.try_element_at("m", key)))
     names = F.filter(F.map_keys("m"), lambda n: ~n.isin("prov:startTime", "prov:endTime", *{f"prov:{a}" for v in FORMAL.values() for a in v}) | (n.isin("prov:entity", "prov:activity", "prov:agent") & F.col("what").isin(*KINDS)))
     attrs = F.flatten(F.transform(names, lambda n: F.transform(_list(F.try_element_at("m", n)), lambda v: F.named_struct(F.lit("name"), n, F.lit("value"), _value(v), F.lit("value_type"), _value_type(v)))))
-    made = rows.select("doc", "bundle_id", "what", "id", F.explode_outer(_list(args[0])).alias("arg1"), args[1].alias("raw2"), F.try_element_at("m", F.lit("prov:startTime")).alias("start_time"), F.try_element_at("m", F.lit("prov:endTime")).alias("end_time"), "place", attrs.alias("attrs"))
+    made = rows.select("doc", "bundle_id", "what", "id", F.explode_outer(F.when(F.col("what") == "namespace", F.array("raw")).otherwise(_list(args[0]))).alias("arg1"), args[1].alias("raw2"), F.try_element_at("m", F.lit("prov:startTime")).alias("start_time"), F.try_element_at("m", F.lit("prov:endTime")).alias("end_time"), "place", attrs.alias("attrs"))
     made = made.withColumn("arg2", F.explode_outer(_list(F.col("raw2"))))
     plain = lambda c: F.coalesce(F.when(F.col(c).startswith("{"), F.from_json(c, _MAP)["$"]), F.col(c))
     return made.select("doc", "bundle_id", "what", "id", plain("arg1").alias("arg1"), plain("arg2").alias("arg2"), "start_time", "end_time", "place", "attrs")
 
 
 def prov_json_graph(texts: DataFrame) -> ProvGraph:
-    """From rows (doc, value) with a PROV-JSON document each. All documents form one graph."""
+    """From rows (doc, value) with a PROV-JSON document each. All documents form one graph.
+
+    A document is parsed once; its records are written for the tables that are made of them.
+    """
     top = texts.select("doc", F.from_json("value", _MAP).alias("m"))
     inner = top.select("doc", F.explode(F.from_json(F.try_element_at("m", F.lit("bundle")), _MAP)).alias("bundle_id", "raw")).select("doc", "bundle_id", F.from_json("raw", _MAP).alias("content"))
     records = _content_records(top.select("doc", F.lit(None).cast("string").alias("bundle_id"), F.col("m").alias("content")).unionByName(inner))
-    maps = top.select(F.col("m").alias("c")).union(inner.select("content"))
-    prefixes = maps.select(F.explode(F.from_json(F.try_element_at("c", F.lit("prefix")), _MAP)).alias("prefix", "uri")).dropDuplicates(["prefix"])
-    return records_graph(records, prefixes)
+    records = materialize(records, "json-records")
+    prefixes = records.filter("what = 'namespace'").select(F.col("id").alias("prefix"), F.col("arg1").alias("uri")).dropDuplicates(["prefix"])
+    return records_graph(records.filter("what <> 'namespace'"), prefixes)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
