@@ -11,6 +11,18 @@ from provgraph.sources import formats
 from provgraph.sources.relational import order_graph
 
 
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_difference_groups_once_and_counts_records(spark):
+    base = graph.empty(spark)
+    of = lambda *ids: base.with_(nodes=spark.createDataFrame([("b", i, "entity", [], None, None, False, 0) for i in ids], base.nodes.schema))
+    found = merge.difference(of("a", "a", "a", "b", "c"), of("a", "b", "d", "d"))
+    assert _plan(found).count("Exchange hashpartitioning") == 1
+    assert sorted((r.side, r.record_class, r.id) for r in found.collect()) == [("first", "node", "a entity")] * 2 + [("first", "node", "c entity")] + [("second", "node", "d entity")] * 2
+
+
 def test_prov_json_is_parsed_once(spark, monkeypatch):
     """Types of records under one id are united, by prefixes looked up in the row or joined."""
     q = lambda t: {"$": t, "type": "prov:QUALIFIED_NAME"}
