@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, materialize
+from .scratch import discard, materialize, sweep
 
 
 #: So many links are joined on the driver (16 bytes each) at the end of ``contract``, where rounds cost more than work.
 FEW = 100_000
+#: So many steps are taken one by one in ``reach_counts``; for more, distances are doubled.
+NEAR = 16
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -25,11 +27,16 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | No
     without a bound, distances double each round.
     """
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "reach-edges")
-    first = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is None and max_depth is None:
-        return _closure(materialize(first.withColumn("depth", F.lit(1)), "reach-1"))
+        return _closure(materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "reach-1"))
+    return _frontiers(edges, starts, max_depth)
+
+
+def _frontiers(edges: DataFrame, starts: DataFrame | None, max_depth: int | None) -> DataFrame:
+    """``reach`` step by step along a written table (src, dst), which may name an edge twice."""
+    first = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is not None:
-        first = first.join(starts.select(F.col("node").alias("start")).distinct(), "start", "left_semi")
+        first = first.join(starts.select(F.col("node").alias("start")).distinct(), "start", "left_semi").distinct()
     seen = frontier = materialize(first.withColumn("depth", F.lit(1)), "reach-1")
     depth = 1
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
@@ -60,6 +67,32 @@ def _closure(seen: DataFrame) -> DataFrame:
         d *= 2
 
 
+def reach_counts(edges: DataFrame, itself: bool = True) -> DataFrame:
+    """(start, n_reached, farthest, total): how many nodes each source reaches, and its greatest and total depth.
+
+    From a node whose way never forks and ends, the way's length says all three, so its pairs are not listed: a chain
+    of n nodes has n squared of them. Other starts list what they reach, step by step, or by doubling if that is far.
+    A start that lies on a cycle counts as reached, unless ``itself`` is False.
+    """
+    edges = materialize(edges.select("src", "dst").filter("src <> dst"), "reach-edges")
+    ways = materialize(edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"), F.max("dst").alias("other")), "reach-ways")
+    walked, endless = _walked(ways.filter("parent = other"))
+    forks = ways.filter("parent <> other").select("node")
+    ended = walked if endless is None else walked.join(endless, "node", "left_anti")
+    plain = ended.join(forks.select(F.col("node").alias("last")), "last", "left_anti")
+    plain = plain.select(F.col("node").alias("start"), F.col("steps").alias("n_reached"), F.col("steps").cast("int").alias("farthest"), F.expr("steps * (steps + 1) div 2").alias("total"))
+    rest = forks.union(ended.join(forks.select(F.col("node").alias("last")), "last", "left_semi").select("node"))
+    rest = materialize(rest if endless is None else rest.union(endless), "reach-rest")
+    if rest.isEmpty():
+        return plain
+    seen = None if plain.isEmpty() else _frontiers(edges, rest, NEAR)
+    if seen is None or not seen.filter(F.col("depth") == NEAR).isEmpty():
+        first = edges.distinct().select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
+        seen = _closure(materialize(first, "reach-1")).join(rest.select(F.col("node").alias("start")), "start", "left_semi")
+    listed = (seen if itself else seen.filter("start <> node")).groupBy("start").agg(F.count("*").alias("n_reached"), F.max("depth").alias("farthest"), F.sum("depth").alias("total"))
+    return plain.unionByName(listed)
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, node, path): all shortest paths from each start to each node it reaches, itself not."""
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "paths-edges")
@@ -188,20 +221,31 @@ def chase(parents: DataFrame) -> DataFrame:
     Pointer doubling: after round k a row knows what lies 2^k steps ahead. A walk that runs into
     a cycle ends before the first node that it would visit again.
     """
+    jump, endless = _walked(parents)
+    if endless is None:
+        return jump
+    return jump.join(endless, "node", "left_anti").select("node", "last", "steps").unionByName(_walk_into_cycles(parents, endless))
+
+
+def _walked(parents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, last, steps) by pointer doubling, and the nodes whose walk has no end, if there are any.
+
+    A round writes its table before it asks whether a row moved on, so that its join runs once.
+    """
     jump = materialize(parents.select("node", F.col("parent").alias("last"), F.lit(1).cast("long").alias("steps")), "chase")
     limit = jump.count()
+    far = F.col("steps") > limit
     while True:
         ahead = jump.select(F.col("node").alias("last"), F.col("last").alias("next"), F.col("steps").alias("more"))
-        moved = jump.filter(F.col("steps") <= limit).join(ahead, "last", "left")
-        if moved.filter("next IS NOT NULL").isEmpty():
-            break
-        stay, before = jump.filter(F.col("steps") > limit), jump
-        jump = materialize(moved.select("node", F.coalesce("next", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")).union(stay.select("node", "last", "steps")), "chase")
+        going = jump.filter(~far).select("node", "last", "steps").join(ahead, "last", "left")
+        moved = going.select("node", F.coalesce("next", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved"))
+        before, jump = jump, materialize(moved.union(jump.filter(far).select("node", "last", "steps", F.lit(False))), "chase")
         discard(before)
-    endless = jump.filter(F.col("steps") > limit).select("node")
-    if endless.isEmpty():
-        return jump
-    return jump.filter(F.col("steps") <= limit).unionByName(_walk_into_cycles(parents, endless))
+        sweep(jump.sparkSession)
+        if jump.filter("moved").isEmpty():
+            break
+    endless = jump.filter(far).select("node")
+    return jump.select("node", "last", "steps"), None if endless.isEmpty() else endless
 
 
 def _walk_into_cycles(parents: DataFrame, starts: DataFrame) -> DataFrame:
