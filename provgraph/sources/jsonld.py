@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import types_of
 from ..graph import ProvGraph
-from .build import all_of, attr_rows, edge_rows, graph_from, node_rows
+from .build import all_of, attr_rows, edge_rows, graph_from
 from .template import templates_from
 
 _MAP = "map<string, string>"
@@ -55,11 +56,28 @@ def nodes_of(texts: DataFrame) -> DataFrame:
     return both.select("doc", "bundle_id", _context(F.col("context")).alias("context"), "place", _list(_key("m", "@type")).alias("types"), "m")
 
 
+def _opened(rows: DataFrame, *keep: Column) -> DataFrame:
+    """``keep`` and ``nodes`` (place, m, types), those of ``nodes_of`` in an array, of rows with a parsed document ``d``."""
+    maps = lambda raw: F.transform(_list(raw), lambda x, i: F.named_struct(F.lit("place"), i, F.lit("m"), F.from_json(x, _MAP)))
+    t = rows.select(*keep, maps(_key("d", "@graph")).alias("graph"))
+    has_graph = lambda n: _key(n["m"], "@graph").isNotNull()
+    inner = F.flatten(F.transform(F.filter("graph", has_graph), lambda n: maps(_key(n["m"], "@graph"))))
+    by_place = lambda nodes: F.array_sort(nodes, lambda x, y: x["place"] - y["place"])
+    nodes = F.when(F.exists("graph", has_graph), by_place(F.concat(F.filter("graph", lambda n: ~has_graph(n)), inner))).otherwise(F.col("graph"))
+    kept = [c for c in t.columns if c != "graph"]
+    return t.select(*kept, F.transform(nodes, lambda n: F.named_struct(F.lit("place"), n["place"], F.lit("m"), n["m"], F.lit("types"), _list(_key(n["m"], "@type")))).alias("nodes"))
+
+
+def _category(types: Column) -> Column:
+    """The first category whose word is in the types, else other."""
+    low = F.lower(F.concat_ws(" ", types))
+    has = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return reduce(lambda rest, c: F.when(has(c[1]), F.lit(c[0])).otherwise(rest), reversed(CATEGORIES), F.lit("other"))
+
+
 def categories(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``category``: the first whose word is in the node's types, else other."""
-    low = F.lower(F.concat_ws(" ", "types"))
-    has = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    return nodes.withColumn("category", reduce(lambda rest, c: F.when(has(c[1]), F.lit(c[0])).otherwise(rest), reversed(CATEGORIES), F.lit("other")))
+    return nodes.withColumn("category", _category(F.col("types")))
 
 
 def jsonld_templates(texts: DataFrame) -> DataFrame:
@@ -67,14 +85,7 @@ def jsonld_templates(texts: DataFrame) -> DataFrame:
 
     A document is a row from its text to its template, so nothing is shuffled.
     """
-    top = texts.select(F.from_json("value", _MAP).alias("d"))
-    maps = lambda raw: F.transform(_list(raw), lambda x, i: F.named_struct(F.lit("place"), i, F.lit("m"), F.from_json(x, _MAP)))
-    t = top.select(F.coalesce(_key("d", "@id"), F.lit("embrc:bundle")).alias("name"), _key("d", "@context").alias("raw_context"), maps(_key("d", "@graph")).alias("graph"))
-    has_graph = lambda n: _key(n["m"], "@graph").isNotNull()
-    inner = F.flatten(F.transform(F.filter("graph", has_graph), lambda n: maps(_key(n["m"], "@graph"))))
-    by_place = lambda nodes: F.array_sort(nodes, lambda x, y: x["place"] - y["place"])
-    nodes = F.when(F.exists("graph", has_graph), by_place(F.concat(F.filter("graph", lambda n: ~has_graph(n)), inner))).otherwise(F.col("graph"))
-    t = t.select("name", "raw_context", F.transform(nodes, lambda n: F.named_struct(F.lit("place"), n["place"], F.lit("m"), n["m"], F.lit("types"), _list(_key(n["m"], "@type")))).alias("nodes"))
+    t = _opened(texts.withColumn("d", F.from_json("value", _MAP)), F.coalesce(_key("d", "@id"), F.lit("embrc:bundle")).alias("name"), _key("d", "@context").alias("raw_context"))
     of_type = lambda word: F.filter("nodes", lambda n: F.exists(n["types"], lambda t: t.contains(word)))
 
     def entity(n: Column) -> Column:
@@ -116,35 +127,51 @@ def jsonld_templates(texts: DataFrame) -> DataFrame:
 def storage_bundles(texts: DataFrame) -> ProvGraph:
     """A storage bundle per document (``doc`` names it): main activity, two connectors, samples, the first
     two persons as senders, the first five observations.
+
+    A text is parsed in its row; what a document's texts have of these nodes then meets in one grouping.
     """
     spark = texts.sparkSession
-    nodes = categories(nodes_of(texts))
-    nth = F.row_number().over(Window.partitionBy("doc", "category").orderBy("place"))
-    nodes = nodes.withColumn("nth", nth)
+    d = texts.select("doc").distinct()
     bundle = F.concat(F.lit("embrc:"), F.col("doc"), F.lit("_storage"))
     own = lambda x: F.concat(F.lit("embrc:"), F.col("doc"), F.lit(f"_{x}"))
-    d = texts.select("doc").distinct()
     main, back, front = own("mainActivity"), own("backwardConnector"), own("forwardConnector")
-    rid = F.coalesce(_key("m", "@id"), F.lit(""))
-    persons = nodes.filter((F.col("category") == "persons") & (F.col("nth") <= FIRST_PERSONS))
-    samples = nodes.filter(F.col("category") == "samples")
-    seen = nodes.filter((F.col("category") == "observations") & (F.col("nth") <= FIRST_OBSERVATIONS))
-    person_id = F.concat(F.lit("embrc:"), F.replace(F.replace(rid, F.lit("https://"), F.lit("")), F.lit("/"), F.lit("_")))
-    sample_id, seen_id = (F.concat(F.lit("embrc:"), F.replace(rid, F.lit("_:"), F.lit(p))) for p in ("sample_", "obs_"))
-    name = lambda other: F.coalesce(_key("m", "name"), F.lit(other))
-    rows = all_of(
-        node_rows(d, bundle, main, "activity", "cpm:mainActivity"), node_rows(d, bundle, back, "entity", "cpm:backwardConnector"), node_rows(d, bundle, front, "entity", "cpm:forwardConnector"),
-        node_rows(persons, bundle, person_id, "agent", "cpm:senderAgent", ordinal=F.col("place")), node_rows(samples, bundle, sample_id, "entity", "sosa:Sample", ordinal=F.col("place")), node_rows(seen, bundle, seen_id, "entity", "sosa:Observation", ordinal=F.col("place")),
-    )
     edges = all_of(edge_rows(d, bundle, "usage", main, back), edge_rows(d, bundle, "generation", front, main), edge_rows(d, bundle, "derivation", front, back))
+    person_id = lambda rid: F.concat(F.lit("embrc:"), F.replace(F.replace(rid, F.lit("https://"), F.lit("")), F.lit("/"), F.lit("_")))
+    named = lambda p: lambda rid: F.concat(F.lit("embrc:"), F.replace(rid, F.lit("_:"), F.lit(p)))
+    chosen = (("persons", person_id, "agent", "cpm:senderAgent"), ("samples", named("sample_"), "entity", "sosa:Sample"), ("observations", named("obs_"), "entity", "sosa:Observation"))
+
+    fixed = [(main, "activity", "cpm:mainActivity"), (back, "entity", "cpm:backwardConnector"), (front, "entity", "cpm:forwardConnector")]
+    node = lambda i, place, k: F.struct(i.alias("node_id"), place.cast("long").alias("ordinal"), F.lit(k).alias("k"))
+    of = lambda n, c: F.transform(c[0], lambda x: node(c[1](x["id"]), x["place"], n))
+    every = F.concat(F.array(*[node(i, F.lit(0), k) for k, (i, _, _) in enumerate(fixed)]), *[of(len(fixed) + n, c) for n, c in enumerate(chosen)])
+    # an id is a record of its own in every bundle; within a bundle the first one stays
+    rows = _chosen(texts).select(bundle.alias("bundle_id"), F.array_sort(every).alias("all"))
+    first = lambda x, i: (i == 0) | ~x["node_id"].eqNullSafe(F.get("all", i - 1)["node_id"])
+    rows = rows.select("bundle_id", F.inline(F.filter("all", first)))
+    kinds = [(kind, types_of(name)) for kind, name in [f[1:] for f in fixed] + [c[2:] for c in chosen]]
+    pick = lambda part: reduce(lambda rest, k: F.when(F.col("k") == k, part(kinds[k])).otherwise(rest), range(1, len(kinds)), part(kinds[0]))
+    none = F.lit(None).cast("timestamp")
+    rows = rows.select("bundle_id", "node_id", pick(lambda k: F.lit(k[0])).alias("kind"), pick(lambda k: k[1]).alias("types"), none.alias("start_time"), none.alias("end_time"), F.lit(False).alias("is_placeholder"), "ordinal")
+
+    full = _chosen(texts, "name", "description")
+    persons, samples = (full.select("doc", F.inline(c)) for c in ("persons", "samples"))
     attrs = all_of(
-        attr_rows(d, main, schema__name=F.concat(F.col("doc"), F.lit(" Processing"))), attr_rows(persons, person_id, schema__name=name("Unknown")),
-        attr_rows(samples, sample_id, schema__name=name("Unknown Sample"), schema__description=F.coalesce(_key("m", "description"), F.lit(""))),
+        attr_rows(d, main, schema__name=F.concat(F.col("doc"), F.lit(" Processing"))), attr_rows(persons, person_id(F.col("id")), schema__name=F.coalesce("name", F.lit("Unknown"))),
+        attr_rows(samples, named("sample_")(F.col("id")), schema__name=F.coalesce("name", F.lit("Unknown Sample")), schema__description=F.coalesce("description", F.lit(""))),
     )
-    # an id is a record of its own in every bundle; within a bundle the first one stays
-    first = Window.partitionBy("bundle_id", "node_id").orderBy("ordinal")
-    rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return graph_from(spark, rows, edges, attrs, PREFIXES)
+    return graph_from(spark, rows, edges, attrs, PREFIXES, missing=spark.createDataFrame([], "node_id string, ordinal long"))
+
+
+def _chosen(texts: DataFrame, *names: str) -> DataFrame:
+    """(doc, persons, samples, observations): per document the nodes of a storage bundle (place, id, and values by name)."""
+    t = _opened(texts.select("doc", F.from_json("value", _MAP).alias("d")), F.col("doc"))
+    t = t.select("doc", F.transform("nodes", lambda n: F.struct(_category(n["types"]).alias("category"), n["place"].alias("place"), F.coalesce(_key(n["m"], "@id"), F.lit("")).alias("id"), *[_key(n["m"], x).alias(x) for x in names])).alias("nodes"))
+    limits = {"persons": FIRST_PERSONS, "samples": None, "observations": FIRST_OBSERVATIONS}
+    kept = lambda c: F.transform(F.filter("nodes", lambda n: n["category"] == c), lambda n: F.struct(n["place"].alias("place"), n["id"].alias("id"), *[n[x].alias(x) for x in names]))
+    cut = lambda nodes, most: nodes if most is None else F.slice(nodes, 1, most)
+    t = t.select("doc", *[cut(kept(c), most).alias(c) for c, most in limits.items()])
+    by = t.groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in limits])
+    return by.select("doc", *[cut(F.array_sort(c), most).alias(c) for c, most in limits.items()])
 
 
 def bundle_counts(g: ProvGraph) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that grows with what a query says, not with all pairs, copies or scans of its tables."""
 
+import json
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provgraph.operators import metrics
 from provgraph.plans import fixpoint, scratch
+from provgraph.sources import jsonld
 
 from .test_sizes import _graph
 
@@ -51,3 +53,25 @@ def test_a_chain_is_counted_without_its_pairs(spark):
     found = fixpoint.reach_counts(spark.range(600).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst")))
     assert found.agg(F.sum("n_reached")).first()[0] == 600 * 601 // 2
     assert all(spark.read.parquet(p).count() <= 600 for _, p in scratch._SCRATCH[before:])
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_storage_bundles_shuffle_no_texts(spark):
+    """Nodes of an opened bundle count by their place; texts of one document meet; an id stays once, at its first place; broken texts have the fixed nodes."""
+    p = lambda k: {"@id": f"https://o/p{k}", "@type": "Person", "name": f"N{k}"}
+    o = [{"@id": f"_:{k}", "@type": ["sosa:Observation"]} for k in (1, 2, 2, 3, 4, 5)]
+    texts = [("a", {"@graph": [p(1), *o, {"@id": "b", "@graph": [{"@id": "_:s", "@type": "Sample"}, {"@type": "Sample"}, p(0)]}]}), ("a", {"@graph": [{"@id": "x"}, p(2)]}), ("b", "{no json"), ("c", {"@graph": []})]
+    rows = spark.createDataFrame([(d, t if isinstance(t, str) else json.dumps(t)) for d, t in texts], "doc string, value string")
+    g = jsonld.storage_bundles(rows)
+    plan = _plan(g.nodes)
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.bundle_id, r.node_id, r.kind, r.types[0].local, r.ordinal) for r in g.nodes.collect())
+    fixed = [(f"embrc:{d}_storage", f"embrc:{d}_{x}", "activity" if x == "mainActivity" else "entity", x, 0) for d in "abc" for x in ("mainActivity", "backwardConnector", "forwardConnector")]
+    own = [("o_p1", "agent", "senderAgent", 0), ("o_p2", "agent", "senderAgent", 1), ("sample_s", "entity", "Sample", 0), ("", "entity", "Sample", 1)] + [(f"obs_{k}", "entity", "Observation", place) for k, place in ((1, 1), (2, 2), (3, 4), (4, 5))]
+    assert got == sorted(fixed + [("embrc:a_storage", f"embrc:{i}", *r) for i, *r in own])
+    names = sorted((r.record_id, r.name, r.value) for r in g.attrs.filter("value NOT LIKE '% Processing'").collect())
+    assert names == sorted([("embrc:o_p1", "schema:name", "N1"), ("embrc:o_p2", "schema:name", "N2"), *[(f"embrc:{i}", f"schema:{n}", v) for i in ("sample_s", "") for n, v in (("name", "Unknown Sample"), ("description", ""))]])
+    assert g.edges.count() == 9
