@@ -12,7 +12,7 @@ from .queries import _order_templates, _plain, query
 from .sinks import export
 from .sources import formats, jsonld, records, template
 from .sources.build import all_of, attr_rows, edge_rows, graph_from, id_of, node_rows
-from .sources.relational import activity_graph
+from .sources.relational import _none_missing, activity_graph
 
 
 def _read(spark, sf_dir, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _bundles(spark, sf_dir) -> ProvGraph:
     known = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     nodes = all_of(node_rows(orders, bundle("o_orderkey"), name(order), "activity", "cpm:MainActivity", start=F.col("o_orderdate")), node_rows(known, bundle("l_orderkey"), name(item), "entity"))
     edges = edge_rows(known, bundle("l_orderkey"), "generation", name(item), name(of))
-    return graph_from(spark, nodes, edges, attr_rows(orders, name(order), ex__note=_awkward()), {"ex": "http://example.org/ex/"})
+    return graph_from(spark, nodes, edges, attr_rows(orders, name(order), ex__note=_awkward()), {"ex": "http://example.org/ex/"}, missing=_none_missing(spark))
 
 
 def _content(g: ProvGraph, local: bool = False) -> DataFrame:

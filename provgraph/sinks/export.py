@@ -67,9 +67,9 @@ def provn_lines(g: ProvGraph) -> DataFrame:
 
 
 def _uri(name: Column, prefixes: dict[str, str]) -> Column:
-    prefix = F.split(name, ":", 2)[0]
+    prefix = F.substring_index(name, ":", 1)
     base = _pick(prefix, prefixes)
-    return F.when(name.contains("://"), name).when(name.contains(":"), F.concat(F.coalesce(base, F.concat(F.lit(EXAMPLE_URI), prefix, F.lit("/"))), F.split(name, ":", 2)[1])).otherwise(F.concat(F.lit(f"{EXAMPLE_URI}default/"), name))
+    return F.when(name.contains("://"), name).when(name.contains(":"), F.concat(F.coalesce(base, F.concat(F.lit(EXAMPLE_URI), prefix, F.lit("/"))), F.substr(name, F.length(prefix) + 2))).otherwise(F.concat(F.lit(f"{EXAMPLE_URI}default/"), name))
 
 
 def _prefixes(g: ProvGraph) -> dict[str, str]:
@@ -85,18 +85,19 @@ def ntriples(g: ProvGraph) -> DataFrame:
     p = _prefixes(g)
     ref = lambda c: F.concat(F.lit("<"), _uri(c, p), F.lit(">"))
     rdf = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
-    n = _full_nodes(g)
-    s = ref(F.col("node_id"))
-    line = lambda *parts: F.concat_ws(" ", *parts, F.lit(".")).alias("value")
+    n = g.nodes.filter("NOT is_placeholder").select("node_id", "kind", "types", "start_time", "end_time", ref(F.col("node_id")).alias("s"))
+    s = F.col("s")
+    line = lambda *parts: F.concat_ws(" ", *parts, F.lit("."))
     literal = lambda c: F.replace(F.replace(_quote(c), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    when = lambda c, name: n.filter(F.col(c).isNotNull()).select(line(s, F.lit(f"<{PROV_URI}{name}>"), F.concat(F.lit('"'), _time(c), F.lit('"^^<http://www.w3.org/2001/XMLSchema#dateTime>'))))
+    when = lambda c, name: F.when(F.col(c).isNotNull(), line(s, F.lit(f"<{PROV_URI}{name}>"), F.concat(F.lit('"'), _time(c), F.lit('"^^<http://www.w3.org/2001/XMLSchema#dateTime>'))))
     verb = _pick(F.col("relation"), {r.name: f"<{PROV_URI}{r.verb}>" for r in RELATIONS.values()})
+    kind = line(s, F.lit(rdf), F.concat(F.lit(f"<{PROV_URI}"), F.initcap("kind"), F.lit(">")))
+    types = F.transform(F.coalesce("types", F.array().cast("array<struct<prefix: string, local: string, uri: string>>")), lambda t: line(s, F.lit(rdf), F.concat(F.lit("<"), t["uri"], F.lit(">"))))
+    own = g.attrs.filter((F.col("record_class") == "node") & ~F.coalesce(F.col("name").isin("prov:type", "prov:startTime", "prov:endTime"), F.lit(True)))
     parts = [
-        n.select(line(s, F.lit(rdf), F.concat(F.lit(f"<{PROV_URI}"), F.initcap("kind"), F.lit(">")))),
-        n.select("node_id", F.explode("types").alias("t")).select(line(s, F.lit(rdf), F.concat(F.lit("<"), F.col("t.uri"), F.lit(">")))),
-        when("start_time", "startedAtTime"), when("end_time", "endedAtTime"),
-        n.select("node_id", F.explode("attrs").alias("a")).select(line(s, ref(F.col("a.name")), literal(F.coalesce("a.value", F.lit(""))))),
-        g.edges.select(line(ref(F.col("arg1")), verb, ref(F.col("arg2")))),
+        n.select(F.explode(F.concat(F.array(kind), types, F.array_compact(F.array(when("start_time", "startedAtTime"), when("end_time", "endedAtTime"))))).alias("value")),
+        n.select("node_id", "s").join(own.select("record_id", "name", "value"), F.col("node_id") == F.col("record_id")).select(line(s, ref(F.col("name")), literal(F.coalesce("value", F.lit("")))).alias("value")),
+        g.edges.select(line(ref(F.col("arg1")), verb, ref(F.col("arg2"))).alias("value")),
     ]
     return reduce(DataFrame.union, parts)
 

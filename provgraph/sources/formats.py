@@ -204,7 +204,8 @@ def _unescaped(body: Column) -> Column:
 def ntriples_graph(lines: DataFrame) -> ProvGraph:
     """From a column ``value`` of N-Triples lines: kinds, types, the plain PROV relations, other attributes.
 
-    Ids are full URIs. Attributes keep the datatype of their literal, with the usual prefixes.
+    Ids are full URIs. Attributes keep the datatype of their literal, with the usual prefixes. A line is parsed once;
+    its parts are written for the tables that are made of them.
     """
     t = lines.select(F.regexp_extract("value", r"^<([^>]*)>", 1).alias("s"), F.regexp_extract("value", r"^<[^>]*>\s+<([^>]*)>", 1).alias("p"), F.regexp_extract("value", r"^<[^>]*>\s+<[^>]*>\s+(.*?)\s*\.\s*$", 1).alias("o")).filter("s <> ''")
     obj = F.when(F.col("o").startswith("<"), F.regexp_extract("o", r"^<([^>]*)>", 1)).otherwise(_unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)))
@@ -213,16 +214,24 @@ def ntriples_graph(lines: DataFrame) -> ProvGraph:
     kinds = {f"{S.PROV_URI}{k.capitalize()}": k for k in KINDS}
     verbs = {f"{S.PROV_URI}{r.verb}": r.name for r in S.RELATIONS.values()}
     pick = lambda c, d: reduce(lambda rest, kv: F.when(F.col(c) == kv[0], F.lit(kv[1])).otherwise(rest), d.items(), F.lit(None).cast("string"))
-    typed = t.filter(F.col("p") == _TYPE).groupBy("s").agg(F.max(pick("o", kinds)).alias("kind"), F.array_sort(F.collect_set(F.when(pick("o", kinds).isNull(), F.col("o")))).alias("uris"))
-    as_type = lambda u: F.named_struct(F.lit("prefix"), F.lit(None).cast("string"), F.lit("local"), F.element_at(F.split(u, "[/#]"), -1), F.lit("uri"), u)
-    times = t.filter(F.col("p").isin(f"{S.PROV_URI}startedAtTime", f"{S.PROV_URI}endedAtTime")).groupBy(F.col("s").alias("_s")).agg(F.max(F.when(F.col("p").endswith("startedAtTime"), F.col("o"))).alias("a"), F.max(F.when(F.col("p").endswith("endedAtTime"), F.col("o"))).alias("b"))
-    nodes = typed.filter("kind IS NOT NULL").join(times, F.col("s") == F.col("_s"), "left").select(
-        F.lit(None).cast("string").alias("bundle_id"), F.col("s").alias("node_id"), "kind", F.transform("uris", as_type).alias("types"), F.try_to_timestamp("a").alias("start_time"), F.try_to_timestamp("b").alias("end_time"), F.lit(False).alias("is_placeholder"), F.lit(0).cast("long").alias("ordinal")
+    t = materialize(t.select("*", pick("p", verbs).alias("relation")), "ntriples")
+    related = t.filter("relation IS NOT NULL AND is_ref")
+    none, start, end = F.lit(None).cast("string"), f"{S.PROV_URI}startedAtTime", f"{S.PROV_URI}endedAtTime"
+    if_p = lambda p: F.when(F.col("p") == p, F.col("o"))
+    said = t.filter(F.col("p").isin(_TYPE, start, end)).withColumn("kind", F.when(F.col("p") == _TYPE, pick("o", kinds)))
+    said = said.select("s", "kind", F.when(F.col("kind").isNull(), if_p(_TYPE)).alias("uri"), if_p(start).alias("a"), if_p(end).alias("b"), F.lit(False).alias("is_end"))
+    # what is said of a node and the ends of relations meet by id: an id without a kind that is such an end is a placeholder
+    ends = related.select(F.explode(F.array("s", "o")).alias("s"), none.alias("kind"), none.alias("uri"), none.alias("a"), none.alias("b"), F.lit(True).alias("is_end"))
+    by = said.unionByName(ends).groupBy("s").agg(F.max("kind").alias("kind"), F.max("a").alias("a"), F.max("b").alias("b"), F.bool_or("is_end").alias("is_end"), F.array_sort(F.collect_set("uri")).alias("uris"))
+    as_type = lambda u: F.named_struct(F.lit("prefix"), none, F.lit("local"), F.element_at(F.split(u, "[/#]"), -1), F.lit("uri"), u)
+    known = lambda c: F.when(F.col("kind").isNotNull(), c)
+    nodes = by.filter("kind IS NOT NULL OR is_end").select(
+        none.alias("bundle_id"), F.col("s").alias("node_id"), F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce(known(F.transform("uris", as_type)), F.array().cast(f"array<{S.TYPE}>")).alias("types"),
+        known(F.try_to_timestamp("a")).alias("start_time"), known(F.try_to_timestamp("b")).alias("end_time"), F.col("kind").isNull().alias("is_placeholder"), F.lit(0).cast("long").alias("ordinal"),
     )
-    relation = pick("p", verbs)
-    edges = t.filter(relation.isNotNull() & F.col("is_ref")).distinct().select(F.lit(None).cast("string").alias("bundle_id"), F.concat_ws("|", relation, "s", "o").alias("edge_id"), relation.alias("relation"), F.col("s").alias("arg1"), F.col("o").alias("arg2"), F.lit(0).cast("long").alias("ordinal"))
-    attrs = t.filter(relation.isNull() & (F.col("p") != _TYPE)).select(F.col("s").alias("record_id"), F.lit("node").alias("record_class"), F.col("p").alias("name"), F.col("o").alias("value"), F.when(F.col("is_ref"), F.lit("xsd:anyURI")).otherwise(F.col("datatype")).alias("value_type"), F.lit(0).cast("long").alias("ordinal"))
-    return graph_of(nodes, edges, attrs)
+    edges = related.select("s", "relation", "o").distinct().select(none.alias("bundle_id"), F.concat_ws("|", "relation", "s", "o").alias("edge_id"), "relation", F.col("s").alias("arg1"), F.col("o").alias("arg2"), F.lit(0).cast("long").alias("ordinal"))
+    attrs = t.filter(F.col("relation").isNull() & (F.col("p") != _TYPE)).select(F.col("s").alias("record_id"), F.lit("node").alias("record_class"), F.col("p").alias("name"), F.col("o").alias("value"), F.when(F.col("is_ref"), F.lit("xsd:anyURI")).otherwise(F.col("datatype")).alias("value_type"), F.lit(0).cast("long").alias("ordinal"))
+    return graph_of(nodes, edges, attrs, dedupe=False, missing=lines.sparkSession.createDataFrame([], "node_id string, ordinal long"))
 
 
 def import_document(spark: SparkSession, text: str, format_name: str = "json") -> ProvGraph:

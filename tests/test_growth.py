@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from provgraph.operators import metrics
 from provgraph.plans import fixpoint, scratch
-from provgraph.sources import jsonld
+from provgraph.sinks import export
+from provgraph.sources import formats, jsonld
 
 from .test_sizes import _graph
 
@@ -75,3 +76,20 @@ def test_storage_bundles_shuffle_no_texts(spark):
     names = sorted((r.record_id, r.name, r.value) for r in g.attrs.filter("value NOT LIKE '% Processing'").collect())
     assert names == sorted([("embrc:o_p1", "schema:name", "N1"), ("embrc:o_p2", "schema:name", "N2"), *[(f"embrc:{i}", f"schema:{n}", v) for i in ("sample_s", "") for n, v in (("name", "Unknown Sample"), ("description", ""))]])
     assert g.edges.count() == 9
+
+
+def test_ntriples_are_parsed_once_and_joined_once(spark):
+    """Ends without a kind are placeholders, whatever else is said of them; the writer groups no attributes."""
+    prov, rdf = "http://www.w3.org/ns/prov#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    said = [("a", rdf, f"<{prov}Activity>"), ("a", rdf, "<http://t/T>"), ("a", f"{prov}startedAtTime", '"2024-01-02T03:04:05"'), ("a", f"{prov}used", "<x:e>"), ("a", f"{prov}used", "<x:e>"), ("e", rdf, f"<{prov}Entity>"), ("a", f"{prov}used", "<x:odd>"), ("odd", rdf, "<http://t/U>"), ("lone", rdf, "<http://t/U>"), ("odd", f"{prov}endedAtTime", '"2024-01-02T03:04:05"'), ("a", "x:note", '"n"')]
+    before = len(scratch._SCRATCH)
+    g = formats.ntriples_graph(spark.createDataFrame([(f"<x:{s}> <{p}> {o} .",) for s, p, o in said], "value string"))
+    assert [p.rpartition("/")[2].rpartition("-")[0] for _, p in scratch._SCRATCH[before:]] == ["ntriples"]
+    plan = _plan(g.nodes)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    assert sorted((r.node_id, r.kind, [t.local for t in r.types], r.start_time is not None, r.end_time is not None, r.is_placeholder) for r in g.nodes.collect()) == [("x:a", "activity", ["T"], True, False, False), ("x:e", "entity", [], False, False, False), ("x:odd", "unknown", [], False, False, True)]
+    assert g.edges.count() == 2 and [r.value for r in g.attrs.filter("name = 'x:note'").collect()] == ["n"]
+    lines = export.ntriples(g)
+    assert "collect_list" not in _plan(lines)
+    again = f'<http://example.org/x/a> <{prov}startedAtTime> "2024-01-02T03:04:05" .'  # read as an attribute too
+    assert sorted(r.value for r in lines.collect()) == sorted([again] + [f"<x:{s}> <{p}> {o} .".replace("<x:", "<http://example.org/x/").replace('5" .', '5"^^<http://www.w3.org/2001/XMLSchema#dateTime> .') for s, p, o in dict.fromkeys(said) if s not in ("odd", "lone")])
