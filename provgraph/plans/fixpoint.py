@@ -29,10 +29,10 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | No
     edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "reach-edges")
     if starts is None and max_depth is None:
         return _closure(materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "reach-1"))
-    return _frontiers(edges, starts, max_depth)
+    return reach_written(edges, starts, max_depth)
 
 
-def _frontiers(edges: DataFrame, starts: DataFrame | None, max_depth: int | None) -> DataFrame:
+def reach_written(edges: DataFrame, starts: DataFrame | None, max_depth: int | None) -> DataFrame:
     """``reach`` step by step along a written table (src, dst), which may name an edge twice."""
     first = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is not None:
@@ -85,7 +85,7 @@ def reach_counts(edges: DataFrame, itself: bool = True) -> DataFrame:
     rest = materialize(rest if endless is None else rest.union(endless), "reach-rest")
     if rest.isEmpty():
         return plain
-    seen = None if plain.isEmpty() else _frontiers(edges, rest, NEAR)
+    seen = None if plain.isEmpty() else reach_written(edges, rest, NEAR)
     if seen is None or not seen.filter(F.col("depth") == NEAR).isEmpty():
         first = edges.distinct().select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
         seen = _closure(materialize(first, "reach-1")).join(rest.select(F.col("node").alias("start")), "start", "left_semi")

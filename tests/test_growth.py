@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import metrics
+from provgraph.operators import metrics, traverse
 from provgraph.plans import fixpoint, scratch
 from provgraph.sinks import export
 from provgraph.sources import formats, jsonld
@@ -93,3 +93,13 @@ def test_ntriples_are_parsed_once_and_joined_once(spark):
     assert "collect_list" not in _plan(lines)
     again = f'<http://example.org/x/a> <{prov}startedAtTime> "2024-01-02T03:04:05" .'  # read as an attribute too
     assert sorted(r.value for r in lines.collect()) == sorted([again] + [f"<x:{s}> <{p}> {o} .".replace("<x:", "<http://example.org/x/").replace('5" .', '5"^^<http://www.w3.org/2001/XMLSchema#dateTime> .') for s, p, o in dict.fromkeys(said) if s not in ("odd", "lone")])
+
+
+def test_paths_keep_only_edges_between_nodes_on_the_way(spark):
+    """Doubled edges and edges that lead nowhere are written once as they are read, and not again with the ways."""
+    edges = [("a", "b"), ("a", "b"), ("b", "t"), ("a", "t")] + [(f"x{i}", f"y{i}") for i in range(50)] + [("b", "y1")]
+    before = len(scratch._SCRATCH)
+    found = traverse.find_paths(_graph(spark, edges), spark.createDataFrame([("a", "t"), ("x1", "t")], "source string, target string"), 4)
+    assert sorted(r.path for r in found.collect()) == [["a", "b", "t"], ["a", "t"]]
+    made = [(p.rpartition("/")[2].rpartition("-")[0], spark.read.parquet(p).count()) for _, p in scratch._SCRATCH[before:]]
+    assert [n for name, n in made if name == "path-edges"] == [55, 3] and "reach-edges" not in dict(made)
