@@ -171,10 +171,9 @@ def critical_paths(g):
   FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT source, target, path FROM p""")
 def undirected_paths(g):
     """From customers to the suppliers of their nation, along delegations in either direction."""
-    some = g.with_(edges=g.edges.filter("relation = 'delegation'"))
-    ends = some.edges.select(F.col("arg1").alias("who"), F.col("arg2").alias("nation"))
-    pairs = ends.filter("who LIKE 'cust:%'").join(ends.filter("who LIKE 'supp:%'").withColumnRenamed("who", "target"), "nation").select(F.col("who").alias("source"), "target")
-    return traverse.undirected_paths(some, pairs).select("source", "target", F.array_join("path", " ").alias("path"))
+    some = g.with_(edges=g.edges.filter("relation = 'delegation'")).materialized("edges")
+    of = lambda end, prefix: some.edges.filter(F.col("arg1").startswith(prefix)).select(F.col("arg1").alias(end), F.col("arg2").alias("group"))
+    return traverse.undirected_paths_in_groups(some, of("source", "cust:"), of("target", "supp:"), sep=" ")
 
 
 @query("transition", """o AS (SELECT min(node_id) AS s, count(*) AS k FROM n),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provgraph import graph, queries, queries_edit, queries_io, queries_select  # noqa: F401
 from provgraph.operators import metrics, traverse
-from provgraph.plans import fixpoint, scratch
+from provgraph.plans import fixpoint, scratch, tiles
 from provgraph.sources.relational import activity_graph, order_graph
 
 #: Queries that read the order graph once or twice; none of them needs a copy of it.
@@ -81,6 +81,49 @@ def test_undirected_paths_join_half_ways(spark):
     assert traverse.undirected_paths(_graph(spark, hub), some).count() == 100_000
 
 
+@pytest.mark.parametrize("side", [1, 2, 1024])
+def test_undirected_paths_in_groups_are_those_of_their_pairs(spark, monkeypatch, side):
+    """All depths against plain walks, in tiles of any size; rows given twice, ends in several groups and in none, a source that is its own target."""
+    monkeypatch.setattr(tiles, "SIDE", side)
+    monkeypatch.setattr(tiles, "TASK", 5)
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c"), ("e", "d"), ("e", "e"), ("a", "b"), ("f", "g")]
+    sources = [(x, k) for k in ("k", "l") for x in "abcdefg" if (x, k) != ("b", "l")] + [("a", "k"), ("b", None), ("c", "m")]
+    targets = [(x, "k") for x in "abcdeg"] + [("a", "l"), ("c", "l"), ("c", "l"), ("d", None), ("d", "n")]
+    pairs = [(s, t) for s, k in sources for t, m in targets if k is not None and k == m]
+    g, frame = _graph(spark, edges), spark.createDataFrame
+    for most in (0, 1, 2, 3, 4) if side == 2 else (3,):
+        want = sorted((s, t, *w) for s, t in pairs for w in _walks(edges, s, t, most))
+        for sep in (None, "|"):
+            got = traverse.undirected_paths_in_groups(g, frame(sources, "source string, group string"), frame(targets, "target string, group string"), most, sep=sep).collect()
+            assert sorted((r.source, r.target, *(r.path.split("|") if sep else r.path)) for r in got) == want
+
+
+def test_undirected_paths_of_a_nation_are_not_shuffled(spark, sf, tmp_path):
+    """1,000 customers and 500 suppliers of one nation: half a million rows, of which none is dealt out after it is made."""
+    for t in ("region", "nation", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for t, n, key, nation in (("customer", 1000, "c_custkey", "c_nationkey"), ("supplier", 500, "s_suppkey", "s_nationkey")):
+        one = spark.read.parquet(f"{sf}/{t}.parquet").limit(1).drop(key, nation)
+        spark.range(n).withColumnRenamed("id", key).withColumn(nation, F.lit(3)).crossJoin(one).write.parquet(f"{tmp_path}/{t}.parquet")
+    sc, key = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().executorList(False)))
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        bytes_before = shuffled()
+        got = queries.QUERIES["undirected_paths"](spark, str(tmp_path))
+        got.write.parquet(f"{tmp_path}/out")
+        assert shuffled() - bytes_before < 500_000
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 500_000 and out.filter("path <> concat_ws(' ', source, 'nation:3', target)").isEmpty()
+
+
 def test_complexity_counts_from_numbers(spark, monkeypatch):
     """Loops, parallel and opposite edges, doubled records and lone nodes; ids that share a number get another seed."""
     edges = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("d", "e"), ("e", "f")]
